@@ -117,11 +117,18 @@ class Words:
         pw, inv = powers(n)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum((low.astype(np.uint64) + U(1)) * pw[:n], out=sums[1:])
+        self._sums, self._inv = sums, inv
         self.hash = mix((sums[self.end] - sums[self.start]) * inv[self.start])
 
     def __len__(self) -> int:
         return len(self.start)
 
+    def prefix(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(words of more than n bytes, hash of their first n bytes: never a word's own hash)."""
+        at = np.flatnonzero(self.end - self.start > n)
+        start = self.start[at]
+        return at, mix(mix((self._sums[start + n] - self._sums[start]) * self._inv[start]) + U(n))
+
     def key(self, at: int, n: int) -> bytes:
         """The words themselves: equal keys mean equal words."""
         return b" ".join(self.low[a:b].tobytes() for a, b in zip(self.start[at : at + n].tolist(), self.end[at : at + n].tolist(), strict=True))

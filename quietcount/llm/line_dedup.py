@@ -79,10 +79,10 @@ def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
 _P = Spread()
 SQL = {
     "op10_line_dedup": f"""
-WITH l AS (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS at FROM documents),
-b AS (SELECT trim(line, ' ') AS k, min(row(doc_id, at)) AS first FROM l WHERE length(trim(line, ' ')) >= {_P.min_chars} GROUP BY 1 HAVING count(DISTINCT source) >= {_P.min_sites}),
-m AS (SELECT doc_id, at, line, coalesce(row(doc_id, at) <> first, false) AS gone FROM l LEFT JOIN b ON trim(line, ' ') = k)
+WITH l AS (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+b AS (SELECT trim(line, ' ') AS k, min(row(doc_id, pos)) AS first FROM l WHERE length(trim(line, ' ')) >= {_P.min_chars} GROUP BY 1 HAVING count(DISTINCT source) >= {_P.min_sites}),
+m AS (SELECT doc_id, pos, line, coalesce(row(doc_id, pos) <> first, false) AS gone FROM l LEFT JOIN b ON trim(line, ' ') = k)
 SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(sum(CAST(gone AS INT)) AS BIGINT) AS n_removed,
-  sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE NOT gone), '')) AS kept_sha256
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id"""
 }

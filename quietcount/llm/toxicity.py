@@ -1,6 +1,6 @@
 """Toxicity by classifier chains.
 
-Categories are predicted one after another by linear models over the words of a text; the probability of each earlier
+Categories are predicted one after another by linear models over the words, and word beginnings, of a text; the probability of each earlier
 category is an input of the later models. For training those inputs come out of fold: a document's earlier probability
 is given by a model that has not seen it, as it will be for new documents.
 """
@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from quietcount.llm.kernel import U, Words, found, map_text, quoted
 from quietcount.llm.training import logistic, sigmoid, training_rows
 
+PREFIXES = (4, 5)
 _BITS = U((1 << 20) - 1)
 
 
@@ -38,6 +39,12 @@ class Fitted:
     weights: list[np.ndarray] = field(default_factory=list)  # of the words, of log length, of earlier categories, constant
 
 
+def traits(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(word, hash) of the words themselves and of the beginnings of longer ones, which inflected forms share."""
+    parts = [(np.arange(len(words)), words.hash)] + [words.prefix(n) for n in PREFIXES]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
 def _presence(bags: list[np.ndarray], words: np.ndarray) -> np.ndarray:
     out = np.zeros((len(bags), len(words)))
     for i, b in enumerate(bags):
@@ -47,7 +54,7 @@ def _presence(bags: list[np.ndarray], words: np.ndarray) -> np.ndarray:
 
 
 def select_words(bags: list[np.ndarray], y: np.ndarray, most: int) -> np.ndarray:
-    """Words whose presence differs most between the classes: log odds ratio over its standard error."""
+    """Words whose presence tells most about the class: by the likelihood ratio of the two-by-two table."""
     if not bags:
         return np.zeros(0, np.uint64)
     every, at = np.unique(np.concatenate(bags), return_inverse=True)
@@ -55,11 +62,15 @@ def select_words(bags: list[np.ndarray], y: np.ndarray, most: int) -> np.ndarray
     pos = np.bincount(at, weights=label, minlength=len(every))
     neg = np.bincount(at, minlength=len(every)) - pos
     n1, n0 = max(y.sum(), 1), max(len(y) - y.sum(), 1)
-    a, b, c, d = pos + 0.5, n1 - pos + 0.5, neg + 0.5, n0 - neg + 0.5
-    z = np.log(a * d / (b * c)) / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
-    z[pos + neg < 3] = 0
-    best = np.argsort(-np.abs(z), kind="stable")[:most]
-    return np.sort(every[best[np.abs(z[best]) > 2.5]])
+    gain = np.zeros(len(every))
+    for seen, rows in ((pos, n1), (neg, n0)):
+        for some, all_ in ((seen, pos + neg), (rows - seen, n1 + n0 - pos - neg)):
+            some = np.maximum(some, 0)
+            gain += some * np.log(np.maximum(some, 1e-12) * (n1 + n0) / np.maximum(all_ * rows, 1e-12))
+    gain[pos + neg < 3] = 0
+    best = np.argsort(-gain, kind="stable")[:most]
+    return np.sort(every[best[gain[best] > 4.0]])
+
 
 
 def fit_chain(bags: list[np.ndarray], sizes: np.ndarray, targets: list[np.ndarray], chain: Chain) -> Fitted:
@@ -86,7 +97,10 @@ def _bags(docs: DataFrame, extra: list[str]) -> DataFrame:
     def make():
         def work(off, data, part):
             words = Words(off, data)
-            out = [np.unique(words.hash[a:b]).view(np.int64) for a, b in zip(words.range, words.range[1:], strict=False)]
+            at, value = traits(words)
+            order = np.argsort(at, kind="stable")
+            value, ends = value[order], np.searchsorted(at[order], words.range)
+            out = [np.unique(value[a:b]).view(np.int64) for a, b in zip(ends, ends[1:], strict=False)]
             return pa.array(out, pa.list_(pa.int64())), pa.array(np.diff(words.range), pa.int64())
 
         return work
@@ -119,12 +133,13 @@ def score_toxicity(docs: DataFrame, model: Fitted, text: str = "text", carry: li
 
         def work(off, data, part):
             words, n = Words(off, data), len(off) - 1
-            low = (words.hash & _BITS).astype(np.int64)
+            where, value = traits(words)
+            low = (value & _BITS).astype(np.int64)
             size, earlier = np.log1p(np.diff(words.range)) / 8, []
             for own, bit, w in zip(m.words, bits, m.weights, strict=True):
                 at = np.flatnonzero(bit[low])
-                at = at[found(words.hash[at], own)]
-                pair = np.unique(words.text_of(at) * max(len(own), 1) + np.searchsorted(own, words.hash[at]))
+                at = at[found(value[at], own)]
+                pair = np.unique(words.text_of(where[at]) * max(len(own), 1) + np.searchsorted(own, value[at]))
                 k = max(len(own), 1)
                 logit = np.bincount(pair // k, weights=w[pair % k], minlength=n)[:n] if len(pair) else np.zeros(n)
                 logit = logit + size * w[len(own)] + w[-1]

@@ -23,7 +23,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 8) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 15) -> np.ndarray:
     """Weights, the last for the constant, by Newton steps."""
     x = np.hstack([x, np.ones((len(x), 1))]) if len(x) else np.zeros((0, x.shape[1] + 1))
     w = np.zeros(x.shape[1])
@@ -31,12 +31,16 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 8) ->
     ridge[-1] = 1e-6
     if len(x) == 0:
         return w
+    loss = lambda w: np.logaddexp(0, x @ w).sum() - y @ (x @ w) + 0.5 * (ridge * w * w).sum()
     for _ in range(rounds):
         p = sigmoid(x @ w)
         g = x.T @ (p - y) + ridge * w
         h = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(ridge)
         step = np.linalg.solve(h, g)
-        w -= step
+        now, share = loss(w), 1.0
+        while share > 1e-3 and loss(w - share * step) > now:
+            share /= 2
+        w = w - share * step
         if np.abs(step).max() < 1e-5:
             break
     return w
