@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("decontamination", "url_filters", "sharding", "line_dedup", "embedding_dedup", "toxicity", "quality", "pieces")
+MODULES = ("decontamination", "url_filters", "sharding", "line_dedup", "embedding_dedup", "toxicity", "quality", "pieces", "minhash_dedup", "suffix_dedup")
 
 
 def queries() -> dict:
