@@ -1,9 +1,463 @@
-"""The library's queries and their oracles."""
+"""The library's queries over the driver's tables and their oracles."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql() -> dict:
-    return {}
+from quietcount.functions import calibration, envelope, text
+from quietcount.operators import bounding, histogram, merge, metrics, profile
+from quietcount.params import CompositionMode, DPParams
+from quietcount.sources import generator
+
+STEPS = 30
+_Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _Q[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_Q)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+# ---- inputs: the events table as a contribution stream and as profiler rows
+
+_EV = """ev AS (SELECT event_id, ts, user_id AS "user", event_type, value AS amount, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
+  event_type || ':' || json_extract_string(props, '$.k') AS key, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INT) AS step, CAST(1 AS BIGINT) AS n FROM events)"""
+_BOUND = """b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY ts, event_id) AS rn FROM ev) WHERE rn <= 32)"""
+
+
+def events(spark, sf_dir) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    k = F.get_json_object("props", "$.k")
+    return e.select("event_id", "ts", F.col("user_id").alias("user"), "event_type", F.col("value").alias("amount"), k.cast("long").alias("k"), F.concat_ws(":", "event_type", k).alias("key"), F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).alias("step"), F.lit(1).cast("long").alias("n"))
+
+
+def bounded(spark, sf_dir) -> DataFrame:
+    return bounding.bound_records(events(spark, sf_dir), "user", ["ts", "event_id"], 32)
+
+
+def stream(spark, sf_dir) -> DataFrame:
+    return bounded(spark, sf_dir).select("user", "key", "step", F.col("n").alias("value"))
+
+
+_PROF = """pr AS (SELECT event_type AS component, "user" % 4 AS task, step AS epoch, count(*) AS calls, max(event_id) AS total, min(event_id) AS low,
+  CAST(epoch_us(min(ts)) // 1000 AS BIGINT) AS t0, CAST(epoch_us(max(ts)) // 1000 AS BIGINT) AS t1 FROM ev GROUP BY ALL)"""
+
+
+def profiler(spark, sf_dir) -> DataFrame:
+    """One row for each component, task and epoch."""
+    ms = lambda c: F.unix_millis(c.cast("timestamp"))
+    return events(spark, sf_dir).groupBy(F.col("event_type").alias("component"), (F.col("user") % 4).alias("task"), F.col("step").alias("epoch")).agg(
+        F.count("*").alias("calls"), F.max("event_id").alias("total"), F.min("event_id").alias("low"), ms(F.min("ts")).alias("t0"), ms(F.max("ts")).alias("t1")
+    )
+
+
+def rnd(c, n: int = 6):
+    return F.round(c, n)
+
+
+# ---- bounding and clamping
+
+
+@query(f"WITH {_EV}, {_BOUND} SELECT event_id, \"user\", key, step FROM b")
+def bound_records(spark, d):
+    return bounded(spark, d).select("event_id", "user", "key", "step")
+
+
+@query(f"""WITH {_EV}, w AS (SELECT *, coalesce(sum(k) OVER (PARTITION BY "user" ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM ev WHERE k > 0)
+SELECT event_id, "user", CAST(least(k, 500 - used) AS BIGINT) AS accepted FROM w WHERE used < 500""")
+def bound_weighted(spark, d):
+    return bounding.bound_weighted(events(spark, d), "user", "k", ["ts", "event_id"], 500).select("event_id", "user", F.col("accepted").cast("long").alias("accepted"))
+
+
+@query("SELECT event_id, greatest(-100.0, least(100.0, value - 200)) AS clamped FROM events")
+def clamp_signed(spark, d):
+    return events(spark, d).select("event_id", text.clamp(F.col("amount") - 200, 100.0).alias("clamped"))
+
+
+@query("SELECT event_id, greatest(0.0, least(100.0, value - 200)) AS clamped FROM events")
+def clamp_nonneg(spark, d):
+    return events(spark, d).select("event_id", text.clamp(F.col("amount") - 200, 100.0, False).alias("clamped"))
+
+
+@query(f"WITH {_EV} SELECT \"user\", CAST(sum(n) AS BIGINT) AS total FROM ev GROUP BY \"user\"")
+def user_counts(spark, d):
+    return bounding.user_totals(events(spark, d), "user", "n")
+
+
+# ---- text
+
+_WORDS = "list_filter(list_transform(regexp_split_to_array(text, '\\W+'), lambda w: trim(lower(w), ' ')), lambda w: w <> '')"
+
+
+def _docs(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet")
+
+
+@query(f"SELECT doc_id, CAST(len({_WORDS}) AS BIGINT) AS n_words, CAST(len(list_distinct({_WORDS})) AS BIGINT) AS n_distinct FROM documents")
+def word_split(spark, d):
+    w = text.words(F.col("text"))
+    return _docs(spark, d).select("doc_id", F.size(w).cast("long").alias("n_words"), F.size(F.array_distinct(w)).cast("long").alias("n_distinct"))
+
+
+@query(f"SELECT word, count(*) AS n FROM (SELECT unnest({_WORDS}) AS word FROM documents) GROUP BY word")
+def word_count(spark, d):
+    return text.split_sentences(_docs(spark, d), "text", "source").groupBy("word").agg(F.sum("count").alias("n"))
+
+
+@query("""WITH t AS (SELECT source, sum(len(regexp_extract_all(text, '\\w+'))) AS total FROM documents GROUP BY source)
+SELECT round(quantile_cont(total, 0.99), 4) AS bound, CAST(min(total) AS BIGINT) AS least, CAST(max(total) AS BIGINT) AS most, round(avg(total), 4) AS mean FROM t""")
+def user_word_percentile(spark, d):
+    rows = _docs(spark, d).select("source", F.size(F.expr(r"regexp_extract_all(text, r'\w+', 0)")).cast("long").alias("w"))
+    out = bounding.bound_estimate(rows, "source", "w")
+    return out.select(rnd("bound", 4).alias("bound"), "least", "most", rnd("mean", 4).alias("mean"))
+
+
+@query("SELECT DISTINCT user_id, sha256('user:' || user_id) AS user_key, sha256('word:' || event_type) AS word_key, event_type FROM events")
+def routing_key_sha256(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_type").distinct()
+    return e.select("user_id", text.user_key(F.col("user_id")).alias("user_key"), text.word_key(F.col("event_type")).alias("word_key"), "event_type")
+
+
+@query("""SELECT event_id, json_extract_string(props, '$.k') IS NOT NULL AS has_k, false AS has_all FROM events""")
+def json_required_fields(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return e.select("event_id", text.required_fields(F.col("props"), ("k",)).alias("has_k"), text.required_fields(F.col("props")).alias("has_all"))
+
+
+@query("SELECT event_id, reverse(event_type) AS reversed, lower(event_type) AS name, printf('I just got %f as random value', value) AS message FROM events")
+def demo_functions(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return e.select("event_id", text.reverse_message(F.col("event_type")).alias("reversed"), text.component_name(F.col("event_type")).alias("name"), text.random_message(F.col("value")).alias("message"))
+
+
+@query("SELECT event_id, CAST(greatest(0, floor(value - 100 + 0.5)) AS BIGINT) AS released FROM events")
+def release_round_clamp(spark, d):
+    return events(spark, d).select("event_id", text.round_release(F.col("amount") - 100).alias("released"))
+
+
+# ---- the exact part of the mechanism
+
+
+@query(f"WITH {_EV}, {_BOUND} SELECT step, key, CAST(sum(n) AS BIGINT) AS total FROM b GROUP BY step, key")
+def step_key_sum(spark, d):
+    return histogram.step_sums(stream(spark, d))
+
+
+@query(f"WITH {_EV}, {_BOUND} SELECT step, key, count(DISTINCT \"user\") AS users FROM b GROUP BY step, key")
+def step_key_distinct_users(spark, d):
+    return histogram.step_users(stream(spark, d))
+
+
+@query(f"WITH {_EV}, {_BOUND} SELECT step, key, count(*) AS new_users FROM (SELECT key, \"user\", min(step) AS step FROM b GROUP BY key, \"user\") GROUP BY step, key")
+def new_users_per_step(spark, d):
+    return histogram.new_users(stream(spark, d))
+
+
+_SUMS = f"{_EV}, {_BOUND}, s AS (SELECT step, key, CAST(sum(n) AS BIGINT) AS total FROM b GROUP BY step, key)"
+
+
+@query(f"WITH {_SUMS} SELECT step, key, total, CAST(sum(total) OVER (PARTITION BY key ORDER BY step) AS BIGINT) AS prefix FROM s")
+def prefix_sum(spark, d):
+    return histogram.prefix_sums(histogram.step_sums(stream(spark, d)))
+
+
+@query(f"WITH {_EV}, {_BOUND} SELECT key, CAST(count(*) AS BIGINT) AS value FROM b GROUP BY key")
+def hist_zero_noise_mu0(spark, d):
+    """The mechanism itself without noise and threshold: every key is released with its exact sum."""
+    rows = stream(spark, d).select(F.col("user").cast("string").alias("user"), "key", F.col("value").cast("double").alias("value"), "step")
+    return histogram.dp_histogram(rows, histogram.mechanism(STEPS, 0, None))
+
+
+_MU = 4
+
+
+@query(f"""WITH RECURSIVE {_EV}, {_BOUND}, c AS (SELECT DISTINCT key, "user", step FROM b),
+r(key, from_step, pos) AS (
+  SELECT key, 0, min(t) FROM (SELECT key, t, count(*) FILTER (WHERE first <= t) AS m FROM (SELECT key, "user", min(step) AS first FROM c GROUP BY key, "user") u JOIN (SELECT DISTINCT key AS k2, step AS t FROM c) s ON k2 = key GROUP BY key, t) WHERE m >= {_MU} GROUP BY key
+  UNION ALL
+  SELECT key, f, min(t) FROM (SELECT key, f, t, count(*) FILTER (WHERE first <= t) AS m FROM (SELECT r.key, r.pos + 1 AS f, "user", min(step) AS first FROM r JOIN c ON c.key = r.key AND c.step > r.pos GROUP BY r.key, r.pos, "user") u
+    JOIN (SELECT DISTINCT key AS k2, step AS t FROM c) s ON k2 = key AND t >= f GROUP BY key, f, t) WHERE m >= {_MU} GROUP BY key, f)
+SELECT key, CAST(count(*) AS BIGINT) AS value FROM b JOIN (SELECT key, max(pos) AS pos FROM r GROUP BY key) USING (key) WHERE step <= pos GROUP BY key""")
+def hist_zero_noise_mu_n(spark, d):
+    rows = stream(spark, d).select(F.col("user").cast("string").alias("user"), "key", F.col("value").cast("double").alias("value"), "step")
+    return histogram.dp_histogram(rows, histogram.mechanism(STEPS, _MU, None))
+
+
+@query(f"""WITH {_SUMS}, p AS (SELECT step, key, CAST(sum(total) OVER (PARTITION BY key ORDER BY step) AS BIGINT) AS value FROM s),
+g AS (SELECT key, unnest(range(min(step), {STEPS})) AS step FROM p GROUP BY key)
+SELECT CAST(g.step AS INT) AS step, g.key, (SELECT max(value) FROM p WHERE p.key = g.key AND p.step <= g.step) AS value FROM g""")
+def carry_forward_snapshot(spark, d):
+    values = histogram.prefix_sums(histogram.step_sums(stream(spark, d))).select("step", "key", F.col("prefix").alias("value"))
+    return histogram.carry_forward(values, STEPS)
+
+
+@query(f"WITH {_EV} SELECT key, count(*) AS value, row_number() OVER (ORDER BY count(*) DESC, key) AS place FROM ev GROUP BY key QUALIFY place <= 20")
+def topk_release_order(spark, d):
+    from pyspark.sql.window import Window
+
+    top = histogram.release_order(metrics.ground_truth(events(spark, d)).withColumnRenamed("truth", "value")).limit(20)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("value"), "key")))  # twenty rows
+
+
+@query(f"WITH {_EV} SELECT key, count(*) AS truth FROM ev GROUP BY key")
+def ground_truth(spark, d):
+    return metrics.ground_truth(events(spark, d))
+
+
+@query(f"""WITH {_EV}, {_BOUND}, r AS (SELECT key, count(*) AS value FROM b GROUP BY key), t AS (SELECT key, count(*) AS truth FROM ev GROUP BY key),
+j AS (SELECT value, truth, abs(coalesce(value, 0) - coalesce(truth, 0)) AS d FROM r FULL JOIN t USING (key))
+SELECT count(value) AS keys_released, count(CASE WHEN value > 0 THEN 1 END) AS keys_positive, count(truth) AS keys_true, max(d) AS l_inf, CAST(sum(d) AS BIGINT) AS l1, round(sqrt(sum(d * d)), 6) AS l2 FROM j""")
+def error_norms(spark, d):
+    released = stream(spark, d).groupBy("key").agg(F.sum("value").alias("value"))
+    out = metrics.error_norms(released, metrics.ground_truth(events(spark, d)))
+    return out.withColumn("l2", rnd("l2"))
+
+
+@query(f"WITH {_EV} SELECT event_type, step, round(avg(amount), 6) AS amount_mean, round(stddev_pop(amount), 6) AS amount_std FROM ev GROUP BY event_type, step")
+def run_mean_std_pop(spark, d):
+    out = metrics.run_statistics(events(spark, d), ["event_type", "step"], ["amount"])
+    return out.select("event_type", "step", rnd("amount_mean").alias("amount_mean"), rnd("amount_std").alias("amount_std"))
+
+
+# ---- partial histograms: producer = user modulo 3
+
+_PART = f"""{_EV}, pt AS (SELECT step AS epoch, 'p' || ("user" % 3) AS producer_id, key, CAST(count(*) AS BIGINT) AS value FROM ev GROUP BY ALL)"""
+
+
+def partials(spark, d) -> DataFrame:
+    e = events(spark, d)
+    return e.groupBy(F.col("step").alias("epoch"), F.concat(F.lit("p"), (F.col("user") % 3).cast("string")).alias("producer_id"), "key").agg(F.count("*").alias("value"))
+
+
+@query(f"WITH {_PART}, c AS (SELECT epoch FROM pt GROUP BY epoch HAVING count(DISTINCT producer_id) >= 3) SELECT epoch, key, CAST(sum(value) AS BIGINT) AS value FROM pt SEMI JOIN c USING (epoch) GROUP BY epoch, key")
+def partial_merge(spark, d):
+    return merge.merge_partials(partials(spark, d), 3)
+
+
+@query(f"WITH {_PART} SELECT epoch, key, CAST(sum(value) AS BIGINT) AS value FROM pt GROUP BY epoch, key")
+def partial_merge_dedup(spark, d):
+    p = partials(spark, d).withColumn("arrival", F.lit(0))
+    again = p.where("producer_id = 'p1'").withColumns({"arrival": F.lit(1), "value": F.col("value") * 7})
+    return merge.merge_partials(merge.first_partials(p.unionByName(again), "arrival"))
+
+
+@query(f"WITH {_PART} SELECT epoch, count(DISTINCT producer_id) AS received, CAST(3 AS BIGINT) AS expected, count(DISTINCT producer_id) >= 3 AS complete FROM pt WHERE value > 1 GROUP BY epoch")
+def epoch_completeness(spark, d):
+    return merge.completeness(partials(spark, d).where("value > 1"), 3)
+
+
+@query(f"WITH {_PART} SELECT epoch, producer_id, key, value FROM pt WHERE NOT (producer_id = 'p2' AND epoch % 2 = 0)")
+def dummy_filter(spark, d):
+    p = partials(spark, d)
+    cover = p.where("producer_id = 'p2' AND epoch % 2 = 0").select("epoch", "producer_id").distinct().select("epoch", "producer_id", F.lit(text.DUMMY).alias("key"), F.lit(0).cast("long").alias("value"))
+    return merge.drop_dummies(p.unionByName(cover))
+
+
+@query(f"""WITH {_EV}, q AS (SELECT *, event_id % 300 - 2 AS seq, "user" % 4 AS producer FROM ev),
+w AS (SELECT *, max(seq) OVER (PARTITION BY producer ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest, row_number() OVER (PARTITION BY producer, seq ORDER BY ts, event_id) AS c FROM q)
+SELECT event_id, producer, seq FROM w WHERE seq >= 0 AND c = 1 AND (newest IS NULL OR seq > newest - 128)""")
+def replay_filter(spark, d):
+    rows = events(spark, d).withColumns({"seq": F.col("event_id") % 300 - 2, "producer": F.col("user") % 4})
+    return merge.replay_filter(rows, "producer", "seq", ["ts", "event_id"]).select("event_id", "producer", "seq")
+
+
+@query(f"""WITH {_EV}, c AS (SELECT step AS epoch, step + step % 3 AS completed_tick FROM ev GROUP BY step), t AS (SELECT unnest(range(0, {STEPS})) AS tick),
+a AS (SELECT tick, max(epoch) AS epoch FROM t JOIN c ON completed_tick <= tick GROUP BY tick)
+SELECT tick, epoch, coalesce(lag(epoch) OVER (ORDER BY tick) = epoch, false) AS stale FROM a""")
+def tick_release(spark, d):
+    complete = events(spark, d).select(F.col("step").alias("epoch")).distinct().withColumn("completed_tick", F.col("epoch") + F.col("epoch") % 3)
+    return merge.tick_releases(spark.range(STEPS).select(F.col("id").alias("tick")), complete)
+
+
+# ---- profiler analytics
+
+
+@query(f"WITH {_EV}, {_PROF} SELECT component, round(avg(calls), 6) AS mean, round(coalesce(stddev_samp(calls), 0), 6) AS std, count(calls) AS n, min(calls) AS least, max(calls) AS most FROM pr GROUP BY component")
+def latency_stats(spark, d):
+    out = profile.latency_stats(profiler(spark, d), ["component"], "calls")
+    return out.withColumns({"mean": rnd("mean"), "std": rnd("std")})
+
+
+@query(f"WITH {_EV}, {_PROF} SELECT component, CAST(sum(t) AS BIGINT) AS total, count(*) AS tasks FROM (SELECT component, task, max(total) AS t FROM pr GROUP BY ALL) GROUP BY component")
+def counter_final_sum(spark, d):
+    return profile.final_counters(profiler(spark, d), ["component"], "task", "total")
+
+
+@query(f"WITH {_EV}, {_PROF} SELECT component, task, epoch, t0 - lag(t0) OVER (PARTITION BY component, task ORDER BY epoch) AS duration FROM pr")
+def epoch_duration_lag(spark, d):
+    return profile.lag_difference(profiler(spark, d), ["component", "task"], "epoch", "t0", "duration").select("component", "task", "epoch", "duration")
+
+
+@query(f"WITH {_EV}, {_PROF} SELECT component, task, epoch, coalesce(total - lag(total) OVER (PARTITION BY component, task ORDER BY epoch), total) AS delta FROM pr")
+def counter_delta(spark, d):
+    return profile.lag_difference(profiler(spark, d), ["component", "task"], "epoch", "total", "delta", True).select("component", "task", "epoch", "delta")
+
+
+@query(f"WITH {_EV}, {_PROF} SELECT component, task, epoch, round(stddev_samp(calls) OVER (PARTITION BY component, task ORDER BY epoch ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS std FROM pr")
+def rolling_std5(spark, d):
+    out = profile.rolling_std(profiler(spark, d), ["component", "task"], "epoch", "calls", "std")
+    return out.select("component", "task", "epoch", rnd("std").alias("std"))
+
+
+_DAY = 86_400_000
+
+
+@query(f"""WITH {_EV}, {_PROF}, l AS (SELECT component, task, CAST(t0 - lag(t0) OVER (PARTITION BY component, task ORDER BY epoch) AS DOUBLE) AS x FROM pr)
+SELECT component, task, count(*) AS n, CAST(sum(CASE WHEN abs(x - {_DAY}) > 0.2 * {_DAY} THEN 1 ELSE 0 END) AS BIGINT) AS violations, round(1 - sum(CASE WHEN abs(x - {_DAY}) > 0.2 * {_DAY} THEN 1 ELSE 0 END) / count(*), 6) AS compliance,
+  round(avg(x), 3) AS mean, round(max(abs(x - {_DAY})), 3) AS max_deviation, round(stddev_pop(x) / {_DAY}, 6) AS irregularity FROM l WHERE x IS NOT NULL GROUP BY component, task""")
+def traffic_compliance(spark, d):
+    rows = profile.lag_difference(profiler(spark, d), ["component", "task"], "epoch", "t0", "x")
+    out = profile.compliance(rows, ["component", "task"], "x", float(_DAY))
+    return out.select("component", "task", "n", "violations", rnd("compliance").alias("compliance"), rnd("mean", 3).alias("mean"), rnd(F.col("max_deviation").cast("double"), 3).alias("max_deviation"), rnd("irregularity").alias("irregularity"))
+
+
+@query(f"WITH {_EV}, {_PROF} SELECT component, task, epoch, t1 - t0 AS duration FROM pr")
+def snapshot_duration_join(spark, d):
+    p = profiler(spark, d)
+    on = ["component", "task", "epoch"]
+    return profile.span_durations(p.select(*on, F.col("t0").alias("t")), p.select(*on, F.col("t1").alias("t")), on, "t")
+
+
+_RUNS = f"""{_EV}, rn AS (SELECT CASE WHEN step % 2 = 0 THEN 'base' ELSE 'other' END AS mode, event_type, CASE WHEN k % 3 = 0 THEN NULL ELSE k % 3 END AS p, CAST(count(*) AS DOUBLE) AS throughput FROM ev GROUP BY ALL)"""
+
+
+def runs(spark, d) -> DataFrame:
+    """Run results with a nullable parameter p."""
+    e = events(spark, d)
+    p = F.when(F.col("k") % 3 != 0, F.col("k") % 3)
+    return e.groupBy(F.when(F.col("step") % 2 == 0, "base").otherwise("other").alias("mode"), "event_type", p.alias("p")).agg(F.count("*").cast("double").alias("throughput"))
+
+
+@query(f"WITH {_RUNS} SELECT a.event_type, a.p, a.throughput AS base, b.throughput AS other, round(b.throughput / nullif(a.throughput, 0), 6) AS ratio FROM rn a JOIN rn b ON a.event_type = b.event_type AND a.p IS NOT DISTINCT FROM b.p WHERE a.mode = 'base' AND b.mode = 'other'")
+def matched_pairs_nullsafe(spark, d):
+    r = runs(spark, d)
+    out = profile.matched_pairs(r.where("mode = 'base'"), r.where("mode = 'other'"), ["event_type", "p"], "throughput")
+    return out.withColumn("ratio", rnd("ratio"))
+
+
+_STATUS = "CASE WHEN k % 11 = 0 THEN 'No data' WHEN k % 7 = 0 THEN 'OOM' WHEN k % 5 = 0 THEN 'Timed out' ELSE 'Completed' END"
+
+
+def _status():
+    k = F.col("k")
+    return text.status(F.lit(True), k % 5 == 0, k % 7 == 0, k % 11 != 0)
+
+
+@query(f"WITH {_EV} SELECT event_id, {_STATUS} AS status FROM ev")
+def status_case(spark, d):
+    return events(spark, d).select("event_id", _status().alias("status"))
+
+
+@query(f"""WITH {_EV} SELECT event_type, count(*) FILTER (WHERE {_STATUS} = 'Completed') AS "Completed", count(*) FILTER (WHERE {_STATUS} = 'Timed out') AS "Timed out", count(*) FILTER (WHERE {_STATUS} = 'OOM') AS "OOM", count(*) FILTER (WHERE {_STATUS} = 'No data') AS "No data" FROM ev GROUP BY event_type""")
+def status_pivot(spark, d):
+    return profile.pivot_counts(events(spark, d).withColumn("status", _status()), "event_type", "status", ["Completed", "Timed out", "OOM", "No data"])
+
+
+@query(f"""WITH {_EV}, m AS (SELECT event_type, step + 1 AS x, avg(amount) AS t FROM ev GROUP BY ALL)
+SELECT event_type, x, round(t, 6) AS throughput, round(t / (first(t) OVER w * x / first(x) OVER w), 6) AS efficiency FROM m WINDOW w AS (PARTITION BY event_type ORDER BY x)""")
+def scaling_efficiency(spark, d):
+    rows = events(spark, d).withColumn("x", F.col("step") + 1)
+    return profile.scaling_efficiency(rows, ["event_type"], "x", "amount").select("event_type", "x", rnd("throughput").alias("throughput"), rnd("efficiency").alias("efficiency"))
+
+
+@query(f"WITH {_RUNS}, s AS (SELECT mode, event_type, sum(throughput) AS throughput FROM rn GROUP BY ALL) SELECT a.event_type, a.mode, a.throughput, round(100 * (a.throughput - b.throughput) / nullif(b.throughput, 0), 6) AS change_pct FROM s a JOIN s b ON a.event_type = b.event_type AND b.mode = 'base'")
+def relative_change(spark, d):
+    r = runs(spark, d).groupBy("mode", "event_type").agg(F.sum("throughput").alias("throughput"))
+    return profile.relative_change(r, ["event_type"], "mode", "base", "throughput").withColumn("change_pct", rnd("change_pct"))
+
+
+@query(f"WITH {_EV} SELECT event_id, event_type, amount FROM ev JOIN (SELECT event_type, quantile_cont(amount, 0.85) AS cut FROM ev GROUP BY event_type) USING (event_type) WHERE amount <= cut")
+def quantile_outliers(spark, d):
+    return profile.outlier_cut(events(spark, d), ["event_type"], "amount").select("event_id", "event_type", "amount")
+
+
+@query(f"""WITH {_EV} SELECT unnest(['amount', 'amount', 'amount', 'k', 'k', 'step']) AS a, unnest(['amount', 'k', 'step', 'k', 'step', 'step']) AS b, unnest([round(corr(amount, amount), 6), round(corr(amount, k), 6), round(corr(amount, step), 6), round(corr(k, k), 6), round(corr(k, step), 6), round(corr(step, step), 6)]) AS r FROM ev""")
+def pearson_corr(spark, d):
+    return profile.correlations(events(spark, d), ["amount", "k", "step"]).withColumn("r", rnd("r"))
+
+
+@query("SELECT event_id, event_type, value, CAST(NULL AS VARCHAR) AS extra FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, event_type, NULL, 'x' FROM events WHERE event_id % 2 = 1")
+def union_by_name(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    a, b = e.where("event_id % 2 = 0").select("event_id", "event_type", "value"), e.where("event_id % 2 = 1").select("event_type", "event_id", F.lit("x").alias("extra"))
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+@query(f"WITH {_RUNS} SELECT event_type, p FROM rn WHERE mode = 'base' INTERSECT SELECT event_type, p FROM rn WHERE mode = 'other'")
+def shared_configs_intersect(spark, d):
+    r = runs(spark, d)
+    return r.where("mode = 'base'").select("event_type", "p").intersect(r.where("mode = 'other'").select("event_type", "p"))
+
+
+@query(f"WITH {_RUNS} SELECT unnest(['mode', 'p', 'c']) AS \"column\", unnest([count(DISTINCT mode) > 1, count(DISTINCT p) + max(CAST(p IS NULL AS INT)) > 1, false]) AS varies FROM rn")
+def varying_parameters(spark, d):
+    return profile.varying(runs(spark, d).withColumn("c", F.lit(1)), ["mode", "p", "c"])
+
+
+@query(f"WITH {_EV}, {_PROF} SELECT component, epoch, round(sum(CASE WHEN task < 2 THEN calls ELSE 0 END) / greatest(1, sum(calls)), 6) AS real_share, CAST(greatest(0, max(t1 - t0) - sum(calls) * 1000) AS BIGINT) AS idle FROM pr GROUP BY component, epoch")
+def emission_and_idle(spark, d):
+    real, dummy = F.sum(F.when(F.col("task") < 2, F.col("calls")).otherwise(0)), F.sum(F.when(F.col("task") >= 2, F.col("calls")).otherwise(0))
+    out = profiler(spark, d).groupBy("component", "epoch").agg(rnd(profile.emission_ratio(real, dummy)).alias("real_share"), profile.idle_time(F.max(F.col("t1") - F.col("t0")), F.sum("calls") * 1000).cast("long").alias("idle"))
+    return out
+
+
+@query("SELECT l_partkey % 50 AS key, count(DISTINCT o_custkey) AS users, CAST(sum(l_quantity) AS DOUBLE) AS total FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
+def lineitem_histogram(spark, d):
+    li, o = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_quantity"), spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey")
+    return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy((F.col("l_partkey") % 50).alias("key")).agg(F.countDistinct("o_custkey").alias("users"), F.sum("l_quantity").cast("double").alias("total"))
+
+
+# ---- without a SQL form: tested against reference models
+
+
+@query()
+def dp_histogram_noisy(spark, d):
+    """The noisy histogram of part groups over order months, by customer; draws fresh noise for each call."""
+    p = DPParams(mu=2, max_time_steps=128)
+    li, o = spark.read.parquet(f"{d}/lineitem.parquet"), spark.read.parquet(f"{d}/orders.parquet")
+    month = F.months_between(F.trunc("o_orderdate", "month"), F.lit("1992-01-01").cast("date")).cast("int")
+    rows = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("user"), (F.col("l_partkey") % 20).cast("string").alias("key"), F.lit(1.0).alias("value"), month.alias("step"), "l_orderkey", "l_linenumber")
+    kept = bounding.bound_records(rows, "user", ["step", "l_orderkey", "l_linenumber"], p.max_contributions)
+    return histogram.dp_histogram(kept.withColumn("user", F.col("user").cast("string")), histogram.mechanism(p.max_time_steps, p.mu, calibration.calibrate(p)))
+
+
+@query("SELECT event_id, user_id, true AS same, true AS route_ok, true AS tamper_seen FROM events")
+def aes_gcm_roundtrip(spark, d):
+    key = F.unhex(F.lit("000102030405060708090A0B0C0D0E0F101112131415161718191A1B1C1D1E1F"))  # a test key
+    e = spark.read.parquet(f"{d}/events.parquet")
+    head = envelope.aad(F.lit("source"), F.lit("bounding"), {"producer_id": F.lit("p0"), "seq": F.col("event_id")})
+    s = e.select("event_id", "user_id", envelope.seal(F.col("user_id").cast("string"), key, head).alias("s"))
+    other = F.struct(F.lit("{}").cast("binary").alias("associatedData"), F.col("s.nonce").alias("nonce"), F.col("s.ciphertext").alias("ciphertext"))
+    return s.select("event_id", "user_id", (envelope.unseal(F.col("s"), key) == F.col("user_id").cast("string")).alias("same"), envelope.valid_route(F.col("s"), "source", "bounding").alias("route_ok"), envelope.unseal(other, key).isNull().alias("tamper_seen"))
+
+
+@query()
+def zipf_generate(spark, d):
+    return generator.contributions(spark, 2000, 1000, 100)
+
+
+@query()
+def calibration_table(spark, d):
+    rows = []
+    for mode in CompositionMode:
+        for t in (100, 1000):
+            c = calibration.calibrate(DPParams(mu=0, max_time_steps=t, composition=mode))
+            rows.append((mode.value, t, c.eps_round, c.delta_round, c.sigma_key, c.sigma_hist, c.beta, c.quantile))
+    return spark.createDataFrame(rows, "composition string, T int, eps_round double, delta_round double, sigma_key double, sigma_hist double, beta double, quantile double")
