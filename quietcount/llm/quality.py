@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quietcount.llm.kernel import Words, found, map_text, quoted, utf8
+from quietcount.llm.kernel import Words, found, map_text, quoted, slices
 from quietcount.llm.training import logistic, sigmoid, training_rows
 
 COMMON = 256
@@ -26,7 +26,7 @@ N_SHAPE = 11
 @dataclass(frozen=True)
 class Field:
     #: at most so many labelled documents are used for fitting
-    sample: int = 6_000
+    sample: int = 4_000
     steps: int = 120
     rate: float = 0.08
     l2: float = 1e-4
@@ -166,14 +166,20 @@ def document_scores(p: np.ndarray, size: np.ndarray, lines: np.ndarray) -> np.nd
 
 def fit(texts: list[str], quality: np.ndarray, params: Field = Field()) -> Model:
     """Fit on whole texts and their labels (1 good, 0 bad). Without texts the score is one half everywhere."""
-    off, data = utf8(pa.array(texts, pa.string()))
-    words = Words(off, data)
-    every, n = np.unique(words.hash, return_counts=True)
-    common = np.sort(every[np.argsort(-n, kind="stable")[:COMMON]])
     width = 4 * N_SHAPE + 2
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    total: dict[int, int] = {}
+    for _, off, data in slices(batch, "text"):  # slice by slice: memory stays bounded by a slice
+        every, n = np.unique(Words(off, data).hash, return_counts=True)
+        some = np.argsort(-n, kind="stable")[: 16 * COMMON]
+        for h, k in zip(every[some].tolist(), n[some].tolist(), strict=True):
+            total[h] = total.get(h, 0) + k
+    common = np.sort(np.array(sorted(total, key=lambda h: (-total[h], h))[:COMMON], np.uint64))
     if not texts:
         return Model(common, np.zeros(N_SHAPE), np.ones(N_SHAPE), np.zeros(width + 1), np.zeros((2, 2)), (0.0, 0.0))
-    lines, size, f = line_shapes(off, data, common, words)
+    shapes = [line_shapes(off, data, common) for _, off, data in slices(batch, "text")]
+    lines = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(x[0]) for x in shapes]))])
+    size, f = np.concatenate([x[1] for x in shapes]), np.concatenate([x[2] for x in shapes])
     mean, scale = f.mean(0), f.std(0) + 1e-6
     x = with_neighbours(np.clip((f - mean) / scale, -6, 6), lines)
     x = np.hstack([x, np.ones((len(x), 1))])
