@@ -25,7 +25,7 @@ _BITS = U((1 << 20) - 1)
 @dataclass(frozen=True)
 class Chain:
     #: at most so many labelled documents are used for fitting
-    sample: int = 10_000
+    sample: int = 5_000
     folds: int = 4
     features: int = 256
     l2: float = 1.0
@@ -57,17 +57,17 @@ def select_words(bags: list[np.ndarray], y: np.ndarray, most: int) -> np.ndarray
     """Words whose presence tells most about the class: by the likelihood ratio of the two-by-two table."""
     if not bags:
         return np.zeros(0, np.uint64)
-    every, at = np.unique(np.concatenate(bags), return_inverse=True)
-    label = np.repeat(y, [len(b) for b in bags])
-    pos = np.bincount(at, weights=label, minlength=len(every))
-    neg = np.bincount(at, minlength=len(every)) - pos
+    every, n = np.unique(np.concatenate(bags), return_counts=True)
+    every = every[n >= 3]  # most words are too rare to tell anything
+    pos, neg = np.zeros(len(every)), np.zeros(len(every))
+    for b, k in zip(bags, y, strict=True):
+        (pos if k else neg)[np.searchsorted(every, b[found(b, every)])] += 1
     n1, n0 = max(y.sum(), 1), max(len(y) - y.sum(), 1)
     gain = np.zeros(len(every))
     for seen, rows in ((pos, n1), (neg, n0)):
         for some, all_ in ((seen, pos + neg), (rows - seen, n1 + n0 - pos - neg)):
             some = np.maximum(some, 0)
             gain += some * np.log(np.maximum(some, 1e-12) * (n1 + n0) / np.maximum(all_ * rows, 1e-12))
-    gain[pos + neg < 3] = 0
     best = np.argsort(-gain, kind="stable")[:most]
     return np.sort(every[best[gain[best] > 4.0]])
 
