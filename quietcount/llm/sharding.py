@@ -26,7 +26,9 @@ def _code(name: str):
 
 
 def _table(spark, rows: list[tuple], columns: str) -> DataFrame:
-    """A small literal table: as many rows as nodes."""
+    """A small literal table: as many rows as nodes. A lone row gets a second one that no node matches, so that the join
+    stays a hash join on the node."""
+    rows = rows if len(rows) > 1 else [*rows, (-1, *rows[0][1:])]
     number = lambda x: f"CAST('{x!r}' AS DOUBLE)" if isinstance(x, float) else f"'{x}'" if isinstance(x, str) else str(x)
     return spark.sql(f"SELECT * FROM VALUES {', '.join('(' + ', '.join(map(number, r)) + ')' for r in rows)} AS t({columns})")
 
