@@ -28,7 +28,7 @@ from quietcount.llm.kernel import P, P_INV, U, map_text, mix, powers, quoted
 
 MODEL = os.environ.get("QUIETCOUNT_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 META = "▁"
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -40,7 +40,7 @@ class Sampling:
 
 
 class Vocabulary:
-    """Pieces as bytes, with log probabilities, and the trie over them as dense rows of 256."""
+    """Pieces as bytes, with log probabilities, and, when needed, the trie over them as dense rows of 256."""
 
     def __init__(self, path: str | None = None, pieces: list[tuple[str, float, str]] | None = None):
         merges = False
@@ -71,9 +71,22 @@ class Vocabulary:
         total = np.log(np.exp(kept).sum()) if merges else 0.0
         self.logp = np.array(score) - total
         self.logp[self.byte_id] = kept.min() - total - 2.0
+        self._own, self._trie = own, None
+        size = np.array([len(b) for b in self.bytes])
+        self.start = np.concatenate([[0], np.cumsum(size)])
+        self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
+
+    @property
+    def trie(self) -> tuple[np.ndarray, np.ndarray]:
+        """(next row by row and byte, piece that ends at each row); built when first needed: decoding does without."""
+        if self._trie is None:
+            self._trie = self._build()
+        return self._trie
+
+    def _build(self) -> tuple[np.ndarray, np.ndarray]:
         rows: list[dict[int, int]] = [{}]
         ends = [-1]
-        for value, i in own.items():
+        for value, i in self._own.items():
             at = 0
             for b in value:
                 if b not in rows[at]:
@@ -82,14 +95,11 @@ class Vocabulary:
                     ends.append(-1)
                 at = rows[at][b]
             ends[at] = i
-        self.next = np.zeros((len(rows), 256), np.int32)
+        step = np.zeros((len(rows), 256), np.int32)
         for at, row in enumerate(rows):
             if row:
-                self.next[at, list(row)] = list(row.values())
-        self.end = np.array(ends, np.int32)
-        size = np.array([len(b) for b in self.bytes])
-        self.start = np.concatenate([[0], np.cumsum(size)])
-        self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
+                step[at, list(row)] = list(row.values())
+        return step, np.array(ends, np.int32)
 
 
 _loaded: dict[str, Vocabulary] = {}
@@ -137,16 +147,16 @@ class Lattice:
         left = off[1:][inside] - np.arange(n)  # bytes up to the part's end
         at, state = np.arange(n), np.zeros(n, np.int32)
         froms, lens, ids = [], [], []
-        depth = 0
+        depth, (step_to, ends) = 0, v.trie
         while len(at):
-            state = v.next[state, data[at + depth]]
+            state = step_to[state, data[at + depth]]
             depth += 1
             ok = state > 0
             at, state = at[ok], state[ok]
-            hit = v.end[state] >= 0
+            hit = ends[state] >= 0
             froms.append(at[hit])
             lens.append(np.full(int(hit.sum()), depth))
-            ids.append(v.end[state[hit]])
+            ids.append(ends[state[hit]])
             more = left[at] > depth
             at, state = at[more], state[more]
         froms, lens, ids = np.concatenate(froms or [np.zeros(0, int)]), np.concatenate(lens or [np.zeros(0, int)]), np.concatenate(ids or [np.zeros(0, int)])
