@@ -1,8 +1,8 @@
 """MinHash near-dedup by improved consistent weighted sampling over TF-IDF shingles.
 
 A text's five-word shingles weigh their count times their inverse document frequency. Document frequencies are counted
-over all distinct texts in a hashed table of fixed size; the weight saturates at ``max_idf``, so it sets apart
-what more than a few hundredths of all texts share, at every corpus size, and hash collisions among rarer shingles change
+over all documents in a hashed table of fixed size; the weight saturates at ``max_idf``, so it sets apart
+what more than a few hundredths of all documents share, at every corpus size, and hash collisions among rarer shingles change
 nothing. For each of bands x rows hash functions one shingle is drawn by consistent weighted sampling (two texts draw the
 same one with the probability of their weighted Jaccard similarity). Texts that share a band are candidates; what counts
 is the weighted Jaccard similarity itself.
@@ -251,11 +251,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     key = ["k1", "k2"]
     classes = cut(rows.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     classes = cut(classes.withColumn("num", F.monotonically_increasing_id()))
-    n_texts = classes.count()
-    # one row for each distinct text: an equal copy has the same shingles
-    one = rows.join(classes.where("n > 1").select(*key, F.col("rep").alias("r")), key, "left").where(F.col("r").isNull() | (F.col("doc_id") == F.col("r")))
-    df = document_frequencies(one, "text", m)
-    weigher = spark.sparkContext.broadcast(Weigher(df, n_texts, m))
+    n_rows = classes.agg(F.sum("n")).first()[0] or 0
+    df = document_frequencies(rows, "text", m)
+    weigher = spark.sparkContext.broadcast(Weigher(df, n_rows, m))
 
     def make():
         sampler = Sampler(m)
