@@ -2,13 +2,15 @@
 
 Vectors are compared within their label by cosine. Identical vectors are first collapsed to one representative with its
 multiplicity. Coarse centroids (inverted lists) and residual codebooks are fitted on a bounded sample; every vector is
-indexed. A query probes every list that can hold a neighbour: two bounds from the triangle inequality (the list's
-radius; the plane between its centroid and the query's own) prove the others empty of neighbours, so probing is sufficient, not heuristic.
+indexed, in its nearest centroid's list. A vector probes a foreign list when the list's radius allows a neighbour there and the plane
+between both centroids is at most ``spread`` standard deviations away, where a neighbour at the threshold in a random direction has
+its coordinate along the plane's normal spread by radius / sqrt(dimensions). A pair is found from either side: it is
+missed only where each of the two lies farther than that from the plane, so the half radius would prove every pair found and bounds the margin.
+Measured on 51,282 vectors and 4,000 neighbours at cosine 0.93 (51, 256, 1024 lists): recall 0.998 to 0.999; at 0.95 0.9995 or more; at 0.99 1.
+
 In a probed list, table look-ups give asymmetric distances to the coded members; a member whose distance less
 its own coding error exceeds the radius cannot be a neighbour; all others are ranked again by exact cosine in double precision.
-
-A list's queries and members are cut into tiles of bounded size, however many rows share it. A tile returns link counts
-and a spanning forest, never its pairs.
+A list's rows are cut into tiles of bounded size, however many share it. A tile returns link counts and a spanning forest, never its pairs.
 """
 
 from __future__ import annotations
@@ -30,7 +32,8 @@ from quietcount.llm.kernel import cut, quoted
 class Quantiser:
     min_cosine: float = 0.93
     sample: int = 20_000
-    per_list: int = 200
+    per_list: int = 500
+    spread: float = 1.5
     max_lists: int = 1024
     subspaces: int = 8
     codes: int = 64
@@ -41,6 +44,9 @@ class Quantiser:
     def radius(self) -> float:
         return float(np.sqrt(2 - 2 * self.min_cosine)) + 1e-7
 
+    def margin(self, dim: int) -> float:
+        return min(self.spread * self.radius / np.sqrt(dim), self.radius / 2) + 1e-9
+
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
     k = max(1, min(k, len(x)))
@@ -85,6 +91,33 @@ class Codebook:
         back = np.concatenate([k[codes[:, j]] for j, k in enumerate(books)], 1)
         return own, codes, np.linalg.norm(rest - back, axis=1), np.linalg.norm(rest, axis=1)
 
+    def lists(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """List of each vector, distance to its centroid."""
+        coarse = self.of(x.shape[1])[0]
+        own = _nearest(x, coarse)
+        return own, np.linalg.norm(x - coarse[own], axis=1)
+
+    def plane(self, x: np.ndarray, own: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Distance of each vector to the plane between its own centroid and another one."""
+        coarse = self.of(x.shape[1])[0]
+        a, b = coarse[own], coarse[other]
+        return (((x - b) ** 2).sum(1) - ((x - a) ** 2).sum(1)) / (2 * np.maximum(np.linalg.norm(a - b, axis=1), 1e-12))
+
+    def probes(self, x: np.ndarray, own: np.ndarray, reach: np.ndarray, q: Quantiser) -> tuple[np.ndarray, np.ndarray]:
+        """(vector, foreign list) of every probe."""
+        coarse = self.of(x.shape[1])[0]
+        at, lists = [], []
+        for s in range(0, len(x), 1024):
+            d2 = np.maximum(1 - 2 * x[s : s + 1024] @ coarse.T + (coarse**2).sum(1)[None], 0)
+            i, k = np.nonzero(np.sqrt(d2) <= reach[None] + q.radius + 1e-7)
+            i, k = (i + s)[k != own[i + s]], k[k != own[i + s]]
+            for c in range(0, len(i), 65536):
+                ic, kc = i[c : c + 65536], k[c : c + 65536]
+                near = self.plane(x[ic], own[ic], kc) <= q.margin(x.shape[1])
+                at.append(ic[near])
+                lists.append(kc[near])
+        return (np.concatenate(at), np.concatenate(lists)) if at else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
     def table(self, x: np.ndarray, list_: int) -> list[np.ndarray]:
         """Squared distances from each query's residual to each code of each subspace."""
         coarse, books, cuts = self.of(x.shape[1])
@@ -92,13 +125,16 @@ class Codebook:
         return [((rest[:, a:b] ** 2).sum(1)[:, None] - 2 * rest[:, a:b] @ k.T + (k * k).sum(1)[None]) for k, a, b in zip(books, cuts, cuts[1:], strict=False)]
 
 
-def _units(raw: pd.Series | list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(positions, unit vectors) for each dimensionality."""
+def _unit(raw: list, kind: type) -> np.ndarray:
+    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _vectors(column: pa.Array, kind: type) -> tuple[list, list[tuple[np.ndarray, np.ndarray]]]:
+    """The vectors' bytes, and (positions, unit vectors) for each dimensionality."""
+    raw = [np.asarray(x, kind).tobytes() for x in column.to_pylist()]
     size = np.array([len(b) for b in raw])
-    for n in np.unique(size):
-        at = np.flatnonzero(size == n)
-        x = np.frombuffer(b"".join(raw[i] for i in at), np.float64).reshape(len(at), -1)
-        yield at, x / np.linalg.norm(x, axis=1, keepdims=True)
+    return raw, [(at, _unit([raw[i] for i in at], kind)) for n in np.unique(size) for at in [np.flatnonzero(size == n)]]
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,36 +157,52 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[out], nodes[root[out]]
 
 
-def _tile_links(q: Quantiser, shared):
+def _tile_links(q: Quantiser, shared, kind: type):
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        query, member = pdf[pdf.is_query].reset_index(drop=True), pdf[~pdf.is_query].reset_index(drop=True)
-        if query.empty or member.empty:
+        book, own = shared.value, int(pdf.list.iloc[0])
+        x, ids, weight, home = _unit(list(pdf.vec), kind), pdf.rep.to_numpy(), pdf.n.to_numpy(), pdf.home.to_numpy()
+        member, low, high = home == own, (pdf.spot == pdf.ti).to_numpy(), (pdf.spot == pdf.tj).to_numpy()
+        counts, ea, eb = np.zeros(len(pdf), np.int64), [], []
+        if not member.any():
             return pd.DataFrame({"rep": [], "other": [], "n": []}).astype("int64")
-        book = shared.value
-        x = np.stack([np.frombuffer(b, np.float64) for b in query.vec])
-        y = np.stack([np.frombuffer(b, np.float64) for b in member.vec])
-        x, y = x / np.linalg.norm(x, axis=1, keepdims=True), y / np.linalg.norm(y, axis=1, keepdims=True)
-        codes = np.stack([np.frombuffer(b, np.uint8) for b in member.codes])
-        far = (q.radius + member.err.to_numpy()) ** 2 + 1e-9
-        ids, others, weight = query.rep.to_numpy(), member.rep.to_numpy(), member.n.to_numpy()
-        ea, eb, counts = [], [], np.zeros(len(query), np.int64)
-        for s in range(0, len(query), 512):
-            tables = book.table(x[s : s + 512], int(pdf.list.iloc[0]))
-            d = sum(t[:, codes[:, j]] for j, t in enumerate(tables))
-            i, j = np.nonzero(d <= far[None])
-            if len(i) > 0.1 * d.size:
-                near = (x[s : s + 512] @ y.T)[i, j]
-            else:
-                near = np.concatenate([np.einsum("ij,ij->i", x[s + i[k : k + 65536]], y[j[k : k + 65536]]) for k in range(0, len(i), 65536)]) if len(i) else np.zeros(0)
-            ok = (near >= q.min_cosine) & (ids[s + i] != others[j])
-            i, j = i[ok], j[ok]
-            counts[s : s + 512] += np.bincount(i, weights=weight[j], minlength=len(d)).astype(np.int64)
-            if len(i):
-                a, b = forest(ids[s + i], others[j])
+        codes = np.zeros((len(pdf), len(book.of(x.shape[1])[1])), np.uint8)
+        codes[member] = np.stack([np.frombuffer(b, np.uint8) for b in pdf.codes[member]])
+        far = (q.radius + pdf.err.fillna(0.0).to_numpy()) ** 2 + 1e-9
+
+        def search(queries: np.ndarray, members: np.ndarray, once: bool) -> None:
+            """``once``: these pairs come in this order alone. A foreign query's pair comes in the other order where the member probes its list."""
+            if not len(queries) or not len(members):
+                return
+            y, c, f = x[members], codes[members], far[members]
+            for s in range(0, len(queries), 512):
+                part = queries[s : s + 512]
+                d = sum(t[:, c[:, j]] for j, t in enumerate(book.table(x[part], own)))
+                i, j = np.nonzero(d <= f[None])
+                if len(i) > 0.1 * d.size:
+                    near = (x[part] @ y.T)[i, j]
+                else:
+                    near = np.concatenate([np.einsum("ij,ij->i", x[part[i[k : k + 65536]]], y[j[k : k + 65536]]) for k in range(0, len(i), 65536)]) if len(i) else np.zeros(0)
+                i, j = part[i[near >= q.min_cosine]], members[j[near >= q.min_cosine]]
+                i, j = i[i != j], j[i != j]
+                if not len(i):
+                    continue
+                np.add.at(counts, i, weight[j])
+                lone = np.full(len(i), once)
+                for k in range(0, len(i), 65536):
+                    foreign = np.flatnonzero(home[i[k : k + 65536]] != own) + k
+                    lone[foreign] = book.plane(x[j[foreign]], home[j[foreign]], home[i[foreign]]) > q.margin(x.shape[1])
+                np.add.at(counts, j[lone], weight[i[lone]])
+                a, b = forest(ids[i], ids[j])
                 ea.append(a)
                 eb.append(b)
-        if ea:
-            ea, eb = forest(np.concatenate(ea), np.concatenate(eb))
+
+        rows = np.arange(len(pdf))
+        if pdf.ti.iloc[0] == pdf.tj.iloc[0]:
+            search(rows, rows[member], False)
+        else:
+            search(rows[low], rows[member & high], True)
+            search(rows[high & ~member], rows[member & low], True)
+        ea, eb = forest(np.concatenate(ea), np.concatenate(eb)) if ea else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         some = np.flatnonzero(counts)
         return pd.DataFrame({"rep": np.concatenate([ids[some], ea]).astype("int64"), "other": np.concatenate([np.full(len(some), -1), eb]).astype("int64"), "n": np.concatenate([counts[some], np.zeros(len(ea))]).astype("int64")})
 
@@ -167,72 +219,67 @@ def link_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embeddi
     """
     spark = rows.sparkSession
     v = F.col("v")
-    rows = rows.select(F.col(quoted(vec_id)).cast("long").alias("vec_id"), F.col(quoted(vector)).cast("array<double>").alias("v"), F.col(quoted(label)).alias("label"))
+    single_precision = rows.schema[vector].dataType.simpleString() == "array<float>"
+    kind = np.float32 if single_precision else np.float64  # as stored; every computation is in double precision
+    as_is = F.col(quoted(vector)) if single_precision else F.col(quoted(vector)).cast("array<double>")
+    rows = rows.select(F.col(quoted(vec_id)).cast("long").alias("vec_id"), as_is.alias("v"), F.col(quoted(label)).alias("label"))
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
     fit = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite, F.lit(False))
     key = [F.xxhash64("label", "v").alias("k1"), F.hash("v", "label").alias("k2")]
     good = rows.where(fit)
-    reps = cut(good.groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.any_value("v").alias("v"), F.xxhash64(F.any_value("label").cast("string")).alias("label")))
-    members = good.select("vec_id", *key)
     # one id may stand for several different vectors; each representative needs a number of its own
+    reps = good.groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.any_value("v").alias("v"), F.xxhash64(F.any_value("label").cast("string")).alias("label"))
     reps = cut(reps.withColumn("num", F.monotonically_increasing_id()))
-    n_reps = reps.count()
+    members = good.select("vec_id", *key)
+    n_reps, n_labels = reps.agg(F.count("*"), F.count_distinct("label")).first()
     picked = reps.orderBy(F.xxhash64("k1", "k2")).limit(q.sample).select("v").collect()
     by_dim: dict[int, list] = {}
     for (x,) in picked:
         by_dim.setdefault(len(x), []).append(x)
     unit = {d: (m := np.array(x, float)) / np.linalg.norm(m, axis=1, keepdims=True) for d, x in by_dim.items()}
-    book = spark.sparkContext.broadcast(Codebook(unit, n_reps, q))
+    book = spark.sparkContext.broadcast(Codebook(unit, n_reps // max(1, n_labels), q))
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task's lists with the largest distance to their centroids."""
+        top: dict[tuple[int, int], float] = {}
         for b in batches:
-            raw = [np.asarray(x, np.float64).tobytes() for x in b.column("v").to_pylist()]
-            n = len(raw)
-            own, err, dist, codes = np.zeros(n, np.int64), np.zeros(n), np.zeros(n), [b""] * n
-            for at, x in _units(raw):
-                o, c, e, d = book.value.encode(x)
-                own[at], err[at], dist[at] = o, e, d
-                for i, k in enumerate(at.tolist()):
-                    codes[k] = c[i].tobytes()
-            yield pa.RecordBatch.from_arrays([b.column("num"), b.column("label"), b.column("n"), pa.array([len(x) // 8 for x in raw], pa.int32()), pa.array(own.astype(np.int32)), pa.array(codes, pa.binary()), pa.array(err), pa.array(dist), pa.array(raw, pa.binary())], ["rep", "label", "n", "dim", "list", "codes", "err", "dist", "vec"])
-
-    coded = cut(reps.select("num", "label", "n", "v").mapInArrow(encode, "rep long, label long, n long, dim int, list int, codes binary, err double, dist double, vec binary"))
-    radii = {(r[0], r[1]): r[2] for r in coded.groupBy("dim", "list").agg(F.max("dist")).collect()}  # a row for each list: max_lists at most
-    radii = spark.sparkContext.broadcast(radii)
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, x in _vectors(b.column("v"), kind)[1]:
+                own, dist = book.value.lists(x)
+                most = np.zeros(own.max() + 1)
+                np.maximum.at(most, own, dist)
+                for k in np.unique(own).tolist():
+                    top[x.shape[1], k] = max(top.get((x.shape[1], k), 0.0), float(most[k]))
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in top], pa.int32()), pa.array([k[1] for k in top], pa.int32()), pa.array(list(top.values()), pa.float64())], ["dim", "list", "dist"])
+
+    radii = reps.select("v").mapInArrow(measure, "dim int, list int, dist double").groupBy("dim", "list").agg(F.max("dist")).collect()  # a row for each list: max_lists at most
+    reach = spark.sparkContext.broadcast({(r[0], r[1]): r[2] for r in radii})
+    layout = "rep long, label long, n long, dim int, list int, home int, codes binary, err double, vec binary"
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each vector as a coded member of its own list and as a query in each foreign list that it probes."""
+        names = [x.split()[0] for x in layout.split(", ")]
         for b in batches:
-            raw = b.column("vec").to_pylist()
-            pos, lists = [], []
-            for at, x in _units(raw):
-                coarse = book.value.of(x.shape[1])[0]
-                reach = np.array([radii.value.get((x.shape[1], k), -np.inf) for k in range(len(coarse))])
-                between = np.sqrt(np.maximum((coarse**2).sum(1)[:, None] - 2 * coarse @ coarse.T + (coarse**2).sum(1)[None], 0))
-                for s in range(0, len(at), 1024):
-                    d2 = np.maximum(1 - 2 * x[s : s + 1024] @ coarse.T + (coarse**2).sum(1)[None], 0)
-                    own = np.argmin(d2, 1)
-                    line = between[own]
-                    plane = (d2 - d2[np.arange(len(own)), own][:, None]) / (2 * np.maximum(line, 1e-12))
-                    i, k = np.nonzero((np.sqrt(d2) <= reach[None] + q.radius + 1e-7) & (plane <= q.radius + 1e-7))
-                    pos.append(at[s + i])
-                    lists.append(k)
-            pos, lists = (np.concatenate(pos), np.concatenate(lists)) if pos else (np.zeros(0, int), np.zeros(0, int))
-            for s in range(0, len(pos), 20_000):
-                p = pa.array(pos[s : s + 20_000])
-                yield pa.RecordBatch.from_arrays([*[b.column(c).take(p) for c in ("rep", "label", "n", "dim")], pa.array(lists[s : s + 20_000].astype(np.int32)), b.column("vec").take(p)], ["rep", "label", "n", "dim", "list", "vec"])
-
-    queries = coded.select("rep", "label", "n", "dim", "vec").mapInArrow(probe, "rep long, label long, n long, dim int, list int, vec binary")
-    queries = cut(queries)
+            raw, by_size = _vectors(b.column("v"), kind)
+            raw = pa.array(raw, pa.binary())
+            for at, x in by_size:
+                own, codes, err, _ = book.value.encode(x)
+                far = np.array([reach.value.get((x.shape[1], k), -np.inf) for k in range(len(book.value.of(x.shape[1])[0]))])
+                who, lists = book.value.probes(x, own, far, q)
+                for part, to, member in ((np.arange(len(at)), own, True), (who, lists, False)):
+                    for s in range(0, len(part), 10_000):
+                        p, n = part[s : s + 10_000], len(part[s : s + 10_000])
+                        pos = pa.array(at[p])
+                        coded = [pa.array([codes[k].tobytes() for k in p] if member else [None] * n, pa.binary()), pa.array(err[p] if member else [None] * n, pa.float64())]
+                        yield pa.RecordBatch.from_arrays([*[b.column(c).take(pos) for c in ("num", "label", "n")], pa.array(np.full(n, x.shape[1], np.int32)), pa.array(to[s : s + 10_000].astype(np.int32)), pa.array(own[p].astype(np.int32)), *coded, raw.take(pos)], names)
+
+    placed = reps.select("num", "label", "n", "v").mapInArrow(place, layout)
     where = ["label", "dim", "list"]
-    sizes = queries.groupBy(where).agg(F.count("*").alias("nq")).join(coded.groupBy(where).agg(F.count("*").alias("nm")), where)
-    sizes = cut(sizes.select(*where, F.ceil(F.col("nq") / q.tile).cast("int").alias("cq"), F.ceil(F.col("nm") / q.tile).cast("int").alias("cm")))
-    spot = lambda own: F.pmod(F.xxhash64("rep"), F.col(own)).cast("int")
-    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    none = F.lit(None)
-    qs = queries.join(sizes, where).select(*where, spot("cq").alias("tq"), all_of("cm").alias("tm"), F.lit(True).alias("is_query"), "rep", "n", "vec", none.cast("binary").alias("codes"), none.cast("double").alias("err"))
-    ms = coded.join(sizes, where).select(*where, all_of("cq").alias("tq"), spot("cm").alias("tm"), F.lit(False).alias("is_query"), "rep", "n", "vec", "codes", "err")
-    found = qs.unionByName(ms).groupBy(*where, "tq", "tm").applyInPandas(_tile_links(q, book), "rep long, other long, n long")
-    found = cut(found)
+    hot = cut(placed.groupBy(where).agg(F.count("*").alias("size")).where(F.col("size") > q.tile).select(*where, F.ceil(F.col("size") / q.tile).cast("int").alias("cuts")))
+    hot = F.broadcast(hot) if hot.count() <= 100_000 else hot
+    cuts = F.coalesce("cuts", F.lit(1))
+    tiles = placed.join(hot, where, "left").withColumns({"spot": F.pmod(F.xxhash64("rep"), cuts).cast("int"), "with": F.explode(F.sequence(F.lit(0), cuts - 1))})
+    tiles = tiles.withColumns({"ti": F.least("spot", "with"), "tj": F.greatest("spot", "with")}).drop("with", "cuts")
+    found = cut(tiles.groupBy(*where, "ti", "tj").applyInPandas(_tile_links(q, book, kind), "rep long, other long, n long"))
     counts = found.where("other < 0").groupBy("rep").agg(F.sum("n").alias("n_links"))
     parts = components(found.where("other >= 0"), "rep", "other")
     ids = reps.select(F.col("num").alias("node"), "rep")
