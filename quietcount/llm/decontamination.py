@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quietcount.llm.kernel import Q, U, Words, cut, found, map_text, mix, quoted, utf8
+from quietcount.llm.kernel import Q, U, Words, cut, found, map_text, mix, named_again, others, positional, quoted, utf8
 
 WINDOW = 10
 GRAM = 5
@@ -179,7 +179,7 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", i
             out = map_text(out, text, carry if blocks == 1 else [*dict.fromkeys([*carry, text])], NEW, _matcher(shared, False))
         else:
             out = map_again(cut(out), text, shared)
-    return out.select(*[quoted(c) for c in carry if c not in {f.name for f in NEW}], *[f.name for f in NEW])
+    return out.select(*[quoted(c) for c in others(carry, [f.name for f in NEW])], *[f.name for f in NEW])
 
 
 def map_again(out: DataFrame, text: str, shared) -> DataFrame:
@@ -212,8 +212,9 @@ def op1_decontamination(spark, sf_dir: str) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, max_hit_words: int = 0) -> DataFrame:
     """Keep the rows of ``docs``, with their own columns, that have at most ``max_hit_words`` hit words."""
-    matched = match_benchmark(docs, benchmark, carry=docs.columns)
-    return matched.where(F.col("n_hit") <= max_hit_words).select(*[F.col(quoted(c)) for c in docs.columns])
+    own, at = positional(docs)
+    matched = match_benchmark(own, benchmark, at["text"])
+    return matched.where(F.col("n_hit") <= max_hit_words).select(*named_again(docs.columns, at))
 
 
 _FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SLICE_BYTES = 1 << 21
@@ -77,9 +78,9 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
 
 def map_text(df: DataFrame, text: str, carry: list[str], new: list[T.StructField], make: Callable, limit: int = SLICE_BYTES) -> DataFrame:
     """Add the columns ``new`` to ``carry``: ``make()`` gives, once a task, a function of (offsets, bytes, rows) that
-    returns their Arrow arrays. Row by row: no shuffle, any number of rows."""
-    added = {f.name for f in new}
-    carry = [c for c in carry if c not in added]
+    returns their Arrow arrays. Row by row: no shuffle, any number of rows. A carried column called like a new one,
+    in any case, is replaced."""
+    carry = others(carry, [f.name for f in new])
     schema = T.StructType([df.schema[c] for c in carry] + new)
     names = [f.name for f in schema.fields]
 
@@ -90,7 +91,33 @@ def map_text(df: DataFrame, text: str, carry: list[str], new: list[T.StructField
                 own = [part.column(part.schema.get_field_index(c)) for c in carry]
                 yield pa.RecordBatch.from_arrays(own + list(work(off, data, part)), names)
 
-    return df.select(*[quoted(c) for c in dict.fromkeys([*carry, text])]).mapInArrow(run, schema)
+    return map_arrow(df.select(*[quoted(c) for c in dict.fromkeys([*carry, text])]), run, schema)
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: T.StructType) -> DataFrame:
+    """``mapInArrow`` for columns of any name, dots and all."""
+    names = df.columns
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(pa.RecordBatch.from_arrays(b.columns, names) for b in batches)
+
+    return df.toDF(*[f"_c{i}" for i in range(len(names))]).mapInArrow(named, schema)
+
+
+def others(columns: list[str], new) -> list[str]:
+    """The columns that no new one replaces."""
+    new = {c.lower() for c in new}
+    return [c for c in columns if c.lower() not in new]
+
+
+def positional(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table under names that clash with none of an operator's own, and which name stands for which column."""
+    at = {c: f"_c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*at.values()), at
+
+
+def named_again(columns: list[str], at: dict[str, str]) -> list:
+    return [F.col(at[c]).alias(c) for c in columns]
 
 
 def quoted(name: str) -> str:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quietcount.llm.kernel import cut, quoted
+from quietcount.llm.kernel import cut, others, positional
 
 
 @dataclass(frozen=True)
@@ -55,20 +55,33 @@ def dedup_lines(docs: DataFrame, text: str = "text", site: str = "source", doc_i
     stay. A null site belongs to no site; a null text has one, empty, line and stays null. Rows that share document id
     and text are one document: they keep, or lose, the same lines. Columns called n_lines or n_removed are replaced.
     """
-    lines = _keyed(docs, text, site, doc_id, params)
-    known = cut(boilerplate(docs, text, site, doc_id, params))
+    new = ["n_lines", "n_removed"]
+    return _less(docs, text, site, doc_id, params, others(docs.columns, new), new)
+
+
+def clean_lines(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with their own columns; ``text`` lost its boilerplate and ``n_chars`` follows it."""
+    out = _less(docs, "text", "source", "doc_id", Spread(), docs.columns, [])
+    if "n_chars" not in docs.columns:
+        return out
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def _less(docs: DataFrame, text: str, site: str, doc_id: str, params: Spread, keep: list[str], new: list[str]) -> DataFrame:
+    docs, column = positional(docs)
+    own_text, site, doc_id = column[text], column[site], column[doc_id]
+    lines = _keyed(docs, own_text, site, doc_id, params)
+    known = cut(boilerplate(docs, own_text, site, doc_id, params))
     own = F.struct("doc", "at", "r1", "r2")
     gone = lines.join(known, ["k1", "k2"]).where(~own.eqNullSafe(F.col("first")))
     gone = gone.groupBy("r1", "r2").agg(F.collect_set("at").alias("_gone"))  # one document's lines
-    keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    held = docs.select(*[F.col(quoted(c)) for c in keep], F.xxhash64(doc_id, text).alias("_r1"), F.hash(text, doc_id).alias("_r2"))
+    held = docs.select(*[column[c] for c in dict.fromkeys([*keep, text])], F.xxhash64(doc_id, own_text).alias("_r1"), F.hash(own_text, doc_id).alias("_r2"))
     held = held.join(gone.withColumnsRenamed({"r1": "_r1", "r2": "_r2"}), ["_r1", "_r2"], "left")
-    split = _lines(F.col(quoted(text)))
+    split = _lines(F.col(own_text))
     left = F.array_join(F.filter(F.transform(split, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: ~F.array_contains(F.col("_gone"), s["i"]))["x"], "\n")
-    cleaned = F.when(F.col("_gone").isNull(), F.col(quoted(text))).otherwise(left)
-    return held.select(
-        *[cleaned.alias(c) if c == text else F.col(quoted(c)) for c in keep], F.size(split).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed")
-    )
+    cleaned = F.when(F.col("_gone").isNull(), F.col(own_text)).otherwise(left)
+    counts = {"n_lines": F.size(split), "n_removed": F.coalesce(F.size("_gone"), F.lit(0))}
+    return held.select(*[(cleaned if c == text else F.col(column[c])).alias(c) for c in keep], *[counts[c].cast("long").alias(c) for c in new])
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:

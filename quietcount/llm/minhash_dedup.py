@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quietcount.llm.components import components
-from quietcount.llm.kernel import SLICE_BYTES, U, Words, cut, map_text, mix, quoted, slices, utf8
+from quietcount.llm.kernel import SLICE_BYTES, U, Words, cut, map_text, mix, named_again, positional, quoted, slices, utf8
 
 
 @dataclass(frozen=True)
@@ -307,11 +307,12 @@ def op7_minhash_dedup(spark, sf_dir: str) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with their own columns, that stay: one document of each class."""
-    body = F.coalesce(F.col("text"), F.lit(""))
+    own, at = positional(docs)
+    body = F.coalesce(F.col(at["text"]), F.lit(""))
     marked = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_d"), F.col("text_key1").alias("_k1"), F.col("text_key2").alias("_k2")).distinct()
-    held = docs.withColumns({"_k1": F.xxhash64(body), "_k2": F.hash(body, F.length(body))})
-    on = held["_k1"].eqNullSafe(marked["_k1"]) & held["_k2"].eqNullSafe(marked["_k2"]) & held["doc_id"].eqNullSafe(marked["_d"])
-    return held.join(marked, on, "left_semi").select(*[F.col(quoted(c)) for c in docs.columns])
+    held = own.withColumns({"_k1": F.xxhash64(body), "_k2": F.hash(body, F.length(body))})
+    on = held["_k1"].eqNullSafe(marked["_k1"]) & held["_k2"].eqNullSafe(marked["_k2"]) & held[at["doc_id"]].eqNullSafe(marked["_d"])
+    return held.join(marked, on, "left_semi").select(*named_again(docs.columns, at))
 
 
 SQL: dict[str, str] = {}

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quietcount.llm.kernel import P, P_INV, U, map_text, mix, powers, quoted
+from quietcount.llm.kernel import P, P_INV, U, map_arrow, map_text, mix, named_again, others, positional, powers
 
 MODEL = os.environ.get("QUIETCOUNT_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 META = "▁"
@@ -254,7 +254,8 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", carry: list
     empty text has no pieces. A column called ``pieces`` is replaced.
     """
     names = docs.columns if carry is None else carry
-    keyed = docs.withColumn("_key", F.coalesce(F.col(quoted(key)).cast("long"), F.lit(0)))
+    docs, at = positional(docs)
+    keyed = docs.withColumn("_key", F.coalesce(F.col(at[key]).cast("long"), F.lit(0)))
 
     def make():
         v = vocabulary(s.model)
@@ -266,13 +267,14 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", carry: list
 
         return work
 
-    out = map_text(keyed, text, [*names, "_key"], [T.StructField("pieces", T.ArrayType(T.IntegerType()))], make, SLICE)
-    return out.drop("_key")
+    names = others(names, ["pieces"])
+    out = map_text(keyed, at[text], [*[at[c] for c in names], "_key"], [T.StructField("pieces", T.ArrayType(T.IntegerType()))], make, SLICE)
+    return out.select(*named_again(names, at), "pieces")
 
 
 def decode(rows: DataFrame, pieces: str = "pieces", to: str = "decoded", model: str = MODEL) -> DataFrame:
     """All columns of ``rows`` and the text of ``pieces``; null pieces give a null text."""
-    names = [c for c in rows.columns if c != to]
+    names = others(rows.columns, [to])
     schema = T.StructType([rows.schema[c] for c in names] + [T.StructField(to, T.StringType())])
 
     def run(batches):
@@ -296,7 +298,7 @@ def decode(rows: DataFrame, pieces: str = "pieces", to: str = "decoded", model:
                     text = pc.if_else(ids.is_valid(), text, None)
                 yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in names], text], [*names, to])
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
 
 
 def op4_sentencepiece(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quietcount.llm.kernel import Words, found, map_text, quoted, slices
+from quietcount.llm.kernel import Words, found, map_text, named_again, positional, slices
 from quietcount.llm.training import logistic, sigmoid, training_rows
 
 COMMON = 256
@@ -68,8 +68,9 @@ def line_shapes(off: np.ndarray, data: np.ndarray, common: np.ndarray, words: Wo
     start = start[order]
     lines = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(off) - 1) + 1)])
     end = np.concatenate([start[1:], [n]])
+    byte = data if n else np.zeros(1, np.uint8)  # texts may all be empty
     broken = np.zeros(len(start), bool)
-    broken[:-1] = (end[:-1] > start[:-1]) & (data[np.maximum(end[:-1] - 1, 0)] == 0x0A) & (np.isin(np.arange(1, len(start)), lines[1:-1], invert=True))
+    broken[:-1] = (end[:-1] > start[:-1]) & (byte[np.maximum(end[:-1] - 1, 0)] == 0x0A) & (np.isin(np.arange(1, len(start)), lines[1:-1], invert=True))
     size = end - start - broken
 
     def count(table: np.ndarray) -> np.ndarray:
@@ -86,10 +87,13 @@ def line_shapes(off: np.ndarray, data: np.ndarray, common: np.ndarray, words: Wo
     same1, same2 = np.zeros(len(h), bool), np.zeros(len(h), bool)
     same1[1:] = h[1:] == h[:-1]
     same2[2:] = h[2:] == h[:-2]
+    head = words.range[:-1][words.range[:-1] < len(h)]  # a text's first words repeat nothing
+    same1[head], same2[head] = False, False
+    same2[np.minimum(head + 1, len(h) - 1)] = False
     nw = np.maximum(wb - wa, 1).astype(float)
     size1 = np.maximum(size, 1).astype(float)
     letters = np.maximum(count(_LETTER), 1)
-    last = np.where(size > 0, data[np.maximum(start + size - 1, 0)] if n else 0, 0)
+    last = np.where(size > 0, byte[np.maximum(start + size - 1, 0)], 0)
     f = np.stack(
         [
             np.log1p(size),
@@ -106,7 +110,7 @@ def line_shapes(off: np.ndarray, data: np.ndarray, common: np.ndarray, words: Wo
         ],
         1,
     )
-    return lines, size, f
+    return lines, size, np.round(f, 9)  # the last digits of logarithms depend on a line's place in its slice
 
 
 def with_neighbours(f: np.ndarray, lines: np.ndarray) -> np.ndarray:
@@ -213,7 +217,7 @@ def _logit(p: np.ndarray) -> np.ndarray:
 def score_quality(docs: DataFrame, model: Model, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``carry`` columns of every row (all by default) and score, predicted, line_good (P(good) of each line).
 
-    A null or empty text is one empty line. Repeated rows score alike; columns named like a new one are replaced.
+    A null or empty text is one empty line. Repeated rows score alike, to nine decimals; columns named like a new one are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -224,7 +228,7 @@ def score_quality(docs: DataFrame, model: Model, text: str = "text", carry: list
             lines, size, f = line_shapes(off, data, m.common)
             x = with_neighbours(np.clip((f - m.mean) / m.scale, -6, 6), lines)
             p = marginals(x @ m.weights[:-1] + m.weights[-1], lines, m.pull)
-            s = sigmoid(m.curve[0] * _logit(document_scores(p, size, lines)) + m.curve[1])
+            s = np.round(sigmoid(m.curve[0] * _logit(document_scores(p, size, lines)) + m.curve[1]), 9)
             good = pa.ListArray.from_arrays(pa.array(lines, pa.int32()), pa.array(p.astype(np.float32)))
             return pa.array(s), pa.array((s >= 0.5).astype(np.int32)), good
 
@@ -252,8 +256,9 @@ def op8_quality(spark, sf_dir: str) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, with their own columns, that are not rejected."""
-    out = score_quality(docs, train_quality(docs, labels))
-    return out.where("predicted = 1").select(*[F.col(quoted(c)) for c in docs.columns])
+    own, at = positional(docs)
+    out = score_quality(own, train_quality(docs, labels), at["text"])
+    return out.where("predicted = 1").select(*named_again(docs.columns, at))
 
 
 SQL: dict[str, str] = {}

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quietcount.llm.kernel import U, ensure_checkpoints, map_text, mix, powers, quoted, slices
+from quietcount.llm.kernel import U, ensure_checkpoints, map_text, mix, named_again, others, positional, powers, slices
 
 
 @dataclass(frozen=True)
@@ -309,13 +309,16 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     share only the id follow each other by a hash of the text; a null id comes last. An empty table gives an empty result.
     Columns named like a new one are replaced.
     """
-    carry = [c for c in (docs.columns if carry is None else carry)]
-    body = F.coalesce(F.col(quoted(text)), F.lit(""))
-    plain = docs.groupBy(quoted(doc_id)).agg(F.count("*").alias("n")).where(F.col(quoted(doc_id)).isNull() | (F.col("n") > 1)).limit(1).count() == 0
+    new = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept", T.BinaryType())]
+    carry = others(docs.columns if carry is None else carry, [f.name for f in new])
+    docs, column = positional(docs)
+    text, doc_id = column[text], column[doc_id]
+    body = F.coalesce(F.col(text), F.lit(""))
+    plain = docs.groupBy(doc_id).agg(F.count("*").alias("n")).where(F.col(doc_id).isNull() | (F.col("n") > 1)).limit(1).count() == 0
     if plain:
-        numbered = docs.withColumn("num", F.col(quoted(doc_id)).cast("long"))
+        numbered = docs.withColumn("num", F.col(doc_id).cast("long"))
     else:
-        pairs = docs.select(F.col(quoted(doc_id)).alias("_d"), F.xxhash64(body).alias("_k")).distinct().orderBy(F.col("_d").asc_nulls_last(), "_k")
+        pairs = docs.select(F.col(doc_id).alias("_d"), F.xxhash64(body).alias("_k")).distinct().orderBy(F.col("_d").asc_nulls_last(), "_k")
         order = pairs.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF(T.StructType([*pairs.schema.fields, T.StructField("num", T.LongType())]))
         keyed = docs.withColumn("_k", F.xxhash64(body))
         numbered = keyed.join(order.withColumnRenamed("_k", "_k2"), keyed[doc_id].eqNullSafe(order["_d"]) & (F.col("_k") == F.col("_k2"))).drop("_d", "_k", "_k2")
@@ -357,10 +360,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
         return work
 
-    new = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept", T.BinaryType())]
     held = numbered.join(gone, "num", "left").withColumn("_gone", F.coalesce("_gone", F.array().cast("array<struct<a:int,n:int>>")))
-    out = map_text(held, text, [*[c for c in carry if c not in ("num", "_gone")], "_gone"], new, make)
-    return out.drop("_gone")
+    out = map_text(held, text, [*[column[c] for c in carry], "_gone"], new, make)
+    return out.select(*named_again(carry, column), *[f.name for f in new])
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
