@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quietcount.llm import decontamination, line_dedup, minhash_dedup, pieces, quality
 from quietcount.llm.kernel import ensure_checkpoints
@@ -18,8 +17,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines stay in the first document that has them; n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs).drop("n_lines", "n_removed")
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return line_dedup.clean_lines(docs)
 
 
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
