@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 U = np.uint64
 P = U(0x9E3779B97F4A7C15 | 1)

@@ -163,11 +163,12 @@ def similarity(h1: np.ndarray, w1: np.ndarray, h2: np.ndarray, w2: np.ndarray) -
 
 
 def _sets(weigher: Weigher, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    off, data = utf8(texts)
-    bounds, h, w = weigher.weighted(off, data)
-    for a, b in zip(bounds, bounds[1:], strict=False):
-        order = np.argsort(h[a:b])
-        yield h[a:b][order], w[a:b][order]
+    """The weighted set of each text, slice by slice."""
+    for _, off, data in slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text"):
+        bounds, h, w = weigher.weighted(off, data)
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            order = np.argsort(h[a:b])
+            yield h[a:b][order], w[a:b][order]
 
 
 def _verify(shared, m: MinHash):
@@ -175,7 +176,7 @@ def _verify(shared, m: MinHash):
         last: tuple[int, tuple] | None = None
         for batch in batches:
             ta, tb = batch.column("ta"), batch.column("tb")
-            size = np.cumsum([len(x or "") + len(y or "") for x, y in zip(ta.to_pylist(), tb.to_pylist(), strict=True)])
+            size = np.cumsum(np.diff(utf8(ta)[0]) + np.diff(utf8(tb)[0]))
             keep, at = np.zeros(batch.num_rows, bool), 0
             while at < batch.num_rows:
                 end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_BYTES, "right")))
