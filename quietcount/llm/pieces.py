@@ -28,7 +28,7 @@ from quietcount.llm.kernel import P, P_INV, U, map_arrow, map_text, mix, named_a
 
 MODEL = os.environ.get("QUIETCOUNT_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 META = "▁"
-SLICE = 1 << 19
+SLICE = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -215,14 +215,28 @@ def encode_slice(v: Vocabulary, off: np.ndarray, data: np.ndarray, keys: np.ndar
     if not len(data):
         return np.zeros(rows + 1, np.int64), np.zeros(0, np.int32)
     start = parts_of(off, data)
+    text = np.searchsorted(off[1:], start, "right")
+    with np.errstate(over="ignore"):
+        seed = mix(mix(keys.astype(np.uint64) + U(s.seed))[text] + (start - off[text]).astype(np.uint64) * P)
+    steps, out, a = [], [], 0
+    while a < len(start):  # parts are sampled apart, so a text of any length goes through in runs of bounded size
+        b = max(a + 1, int(np.searchsorted(start, start[a] + SLICE, "right")) - 1) if start[a] + SLICE < len(data) else len(start)
+        end = start[b] if b < len(start) else len(data)
+        own = _encode_parts(v, start[a:b] - start[a], data[start[a] : end], seed[a:b], s)
+        steps.append(own[0])
+        out.append(own[1])
+        a = b
+    upto = np.concatenate([[0], np.cumsum(np.concatenate(steps))])
+    return upto[np.searchsorted(start, off)], np.concatenate(out)
+
+
+def _encode_parts(v: Vocabulary, start: np.ndarray, data: np.ndarray, seed: np.ndarray, s: Sampling) -> tuple[np.ndarray, np.ndarray]:
+    """(how many pieces each part has, piece ids) of the parts that start at ``start`` and fill ``data``."""
     one, which = distinct_parts(start, data)
     end = np.append(start[1:], len(data))
     size = (end - start)[one]
     own_off = np.concatenate([[0], np.cumsum(size)])
     lat = Lattice(v, own_off, data[np.arange(own_off[-1]) + np.repeat(start[one] - own_off[:-1], size)], s.alpha)
-    text = np.searchsorted(off[1:], start, "right")
-    with np.errstate(over="ignore"):
-        seed = mix(mix(keys.astype(np.uint64) + U(s.seed))[text] + (start - off[text]).astype(np.uint64) * P)
     at = np.arange(len(start))
     node = lat.node[which] + lat.size[which]
     base = lat.node[which]
@@ -244,7 +258,7 @@ def encode_slice(v: Vocabulary, off: np.ndarray, data: np.ndarray, keys: np.ndar
     out = np.empty(int(upto[-1]), np.int32)
     for k, (at, ids) in enumerate(chosen):
         out[upto[at + 1] - 1 - k] = ids
-    return upto[np.searchsorted(start, off)], out
+    return steps, out
 
 
 def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", carry: list[str] | None = None, s: Sampling = Sampling()) -> DataFrame:
