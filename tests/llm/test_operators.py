@@ -106,6 +106,17 @@ def test_embeddings_against_brute_force(spark):
     assert all(got[i] == (0, i, True) for i in range(900, 906))
 
 
+@pytest.mark.parametrize("rank", [2, 3, 6])
+def test_embeddings_of_low_rank_lose_no_link(spark, rank):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(600, rank)) @ rng.normal(size=(rank, 64))
+    q = embedding_dedup.Quantiser(per_list=20, codes=8)
+    rows = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.link_vectors(rows, q=q).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    assert [got[i] for i in range(len(v))] == ((u @ u.T >= 0.93).sum(1) - 1).tolist()
+
+
 def test_minhash_against_brute_force(spark):
     rng = random.Random(8)
     base = [say(rng, 150, 5000) for _ in range(12)]
