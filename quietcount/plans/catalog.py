@@ -450,7 +450,7 @@ def aes_gcm_roundtrip(spark, d):
 
 @query()
 def zipf_generate(spark, d):
-    return generator.contributions(spark, 2000, 1000, 100)
+    return generator.contributions(spark, 500_000, 100_000, 100)
 
 
 @query()

@@ -90,6 +90,11 @@ def test_streaming_equals_bounded_and_repeats(spark, tmp_path):
         StreamingHistogram(spark, str(tmp_path / "h"), Mechanism(9, 2.0, 0.7, 0.5, 1.0, b""))
 
 
+def test_zipf_generate_has_the_reference_sizes(spark):
+    users, last, keys = catalog.queries()["zipf_generate"](spark, "").selectExpr("count(DISTINCT user)", "max(int(user))", "max(int(key))").first()
+    assert users == 500_000 and last == 499_999 and 90_000 < keys <= 100_000
+
+
 def test_every_oracle_has_a_query():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
 
