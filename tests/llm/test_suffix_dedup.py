@@ -3,7 +3,10 @@ import random
 
 import pytest
 
-from quietcount.llm.suffix_dedup import Repeats, remove_repeats
+import numpy as np
+
+from quietcount.llm import suffix_dedup
+from quietcount.llm.suffix_dedup import Repeats, Suffixes, remove_repeats
 
 
 def brute(rows, span):
@@ -43,12 +46,12 @@ def texts(seed):
     return rows + [(100, None), (101, ""), (102, "x" * 900), (103, "ab" * 400 + passage), (104, passage * 3), (105, "é" * 99)]
 
 
-@pytest.mark.parametrize("crowd", [2, 64])
-def test_against_brute_force(spark, crowd):
+@pytest.mark.parametrize("span,crowd", [(100, 20_000), (100, 1), (50, 3), (300, 2), (300, 20_000), (1, 9), (7, 2)])
+def test_against_brute_force(spark, span, crowd):
     rows = texts(1)
     df = spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id long, text string, n_bytes string").repartition(5)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in remove_repeats(df, r=Repeats(crowd=crowd)).collect()}
-    assert got == brute(rows, 100)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in remove_repeats(df, r=Repeats(span=span, crowd=crowd)).collect()}
+    assert got == brute(rows, span)
 
 
 def test_repeated_rows_and_null_ids(spark):
@@ -61,3 +64,47 @@ def test_repeated_rows_and_null_ids(spark):
 
 def test_empty(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_texts_longer_than_a_segment(spark):
+    rng = random.Random(3)
+    passage = "".join(chr(rng.randrange(97, 123)) for _ in range(260_000))
+    rows = [(1, passage * 5 + "end"), (2, "start" + passage[5000:]), (3, "x" * 1_200_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in remove_repeats(df).collect()}
+    assert got == brute(rows, 100)
+
+
+def test_mergesort_of_suffixes():
+    rng = np.random.default_rng(5)
+    data = rng.integers(97, 99, 4000).astype(np.uint8)
+    group = np.sort(rng.integers(0, 30, 700))
+    at = rng.integers(0, 3900, 700)
+    size = rng.integers(0, 90, 700)
+    text = lambda i: data[at[i] : at[i] + size[i]].tobytes()
+    order, ext = Suffixes(data, at, size, 1).sorted_with_extensions(group)
+    assert order.tolist() == sorted(range(700), key=lambda i: (group[i], text(i), i))
+    for k in range(1, 700):
+        x, y = text(order[k - 1]), text(order[k])
+        same = next((j for j in range(min(len(x), len(y))) if x[j] != y[j]), min(len(x), len(y)))
+        assert ext[k] == (same if group[k] == group[k - 1] else -1)
+
+
+def test_collisions_change_no_result(monkeypatch):
+    """A hash of four values collides all the time: the sort sees it by the bytes and tries others, and never lies."""
+    real, calls = suffix_dedup.prefix_sums, []
+
+    def weak(data, seed):
+        calls.append(seed)
+        return real(data, seed) if seed >= 4 else np.concatenate([[0], np.cumsum(data & 1)]).astype(np.uint64) * np.uint64(0)
+
+    monkeypatch.setattr(suffix_dedup, "prefix_sums", weak)
+    data = np.frombuffer(b"banana bandana ananas", np.uint8)
+    at = np.arange(len(data))
+    order, _ = suffix_dedup._sorted(data, at, len(data) - at, np.zeros(len(data), int))
+    assert order.tolist() == sorted(at.tolist(), key=lambda i: data[i:].tobytes()) and max(calls) == 4
+
+
+def test_span_out_of_range_is_refused():
+    with pytest.raises(ValueError):
+        Repeats(span=5000)
