@@ -6,7 +6,9 @@ worker's memory depends on ``SLICE_BYTES`` and on the longest single text, never
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -185,9 +187,11 @@ def found(values: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names; a folder of our own only where none is set (tests)."""
+    """Use the shared folder that the cluster names in ``spark.checkpoint.dir``; a folder of our own only in local mode."""
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", "")
+        if not named and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="quietcount-checkpoints-"))
 
 
@@ -195,3 +199,26 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder."""
     ensure_checkpoints(df.sparkSession)
     return df.checkpoint()
+
+
+def folder(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder, removed when the driver ends: lazy results may read it until then."""
+    ensure_checkpoints(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{kind}-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a written table, wherever it lies. A session that has ended can delete nothing any more."""
+    if spark.sparkContext._jsc is None:
+        return
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Written as a table to the shared folder and read again: later steps read only the columns they need."""
+    path = folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
