@@ -6,7 +6,8 @@ correlation) is estimated from all labelled pages by the method of moments. A ho
 its posterior bad rate is above ``max_bad``. Explicit rules come first; the longest one that fits wins.
 
 Only one row of sums for each of the three levels ever reaches the driver. Counts are pre-aggregated on both sides of
-the shuffle; the join back to pages is left to adaptive execution, which splits a hot host.
+the shuffle. The hosts' reputation is checkpointed before it is joined back to pages: that join has a stage of its own,
+where adaptive execution splits a hot host.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quietcount.llm.kernel import cut
+from quietcount.llm.kernel import cut, others, quoted
 
 #: The contract's rules.
 RULES = (
@@ -68,7 +69,7 @@ def domain_of(host: Column) -> Column:
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """The longest rule that fits and its verdict; null where none fits. Of equally long ones the first given wins."""
     rule = verdict = F.lit(None).cast("string")
-    for said, name, start in sorted(rules, key=lambda r: len(r[1] + r[2])):
+    for said, name, start in sorted(reversed(rules), key=lambda r: len(r[1] + r[2])):
         fits = ((host == name) | host.endswith("." + name)) & path.startswith(start)
         rule, verdict = F.when(fits, F.lit(name + start)).otherwise(rule), F.when(fits, F.lit(said)).otherwise(verdict)
     return rule, verdict
@@ -119,22 +120,24 @@ def host_reputation(hosts: DataFrame, labelled: DataFrame, params: Reputation =
 def filter_urls(pages: DataFrame, labelled: DataFrame, url: str = "url", carry: list[str] | None = None, rules=RULES, params: Reputation = Reputation()) -> DataFrame:
     """``carry`` columns of every row (all by default) and host, path, rule, verdict, bad_rate, bad_bound.
 
-    A null url, or one without ``://``, has an empty host and path, fits no rule and is judged as the host "".
-    Repeated rows are judged each for itself. Columns named like a new one are replaced.
+    A null url, or one without ``://``, has an empty host and path, fits no rule and is judged as the host "". A url of any
+    length is one row. Repeated rows are judged each for itself; of equally long rules that fit the first given wins. An
+    empty table gives an empty result; without labels nothing is blocked but by rules. Columns named like a new one, in
+    any case, are replaced.
     """
-    new = ["host", "path", "rule", "verdict", "bad_rate", "bad_bound"]
-    carry = [c for c in (pages.columns if carry is None else carry) if c not in new]
-    at = pages.select(*[F.col("`" + c.replace("`", "``") + "`") for c in carry], host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    rep = host_reputation(at, labelled, params).drop("n_labelled")
+    carry = others(pages.columns if carry is None else carry, ["host", "path", "rule", "verdict", "bad_rate", "bad_bound"])
+    at = pages.select(*[F.col(quoted(c)).alias(f"_c{i}") for i, c in enumerate(carry)], host_of(F.col(quoted(url))).alias("host"), path_of(F.col(quoted(url))).alias("path"))
+    rep = cut(host_reputation(at, labelled, params).drop("n_labelled"))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     by_host = F.when(F.col("bad_bound") > params.max_bad, "block").otherwise("allow")
-    return at.join(rep, "host", "left").select(*[F.col("`" + c.replace("`", "``") + "`") for c in carry], "host", "path", rule.alias("rule"), F.coalesce(said, by_host).alias("verdict"), "bad_rate", "bad_bound")
+    return at.join(rep, "host", "left").select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], "host", "path", rule.alias("rule"), F.coalesce(said, by_host).alias("verdict"), "bad_rate", "bad_bound")
 
 
 def labelled_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """Outcomes of the pages whose id has a label: bad means low quality or toxic."""
+    """Outcomes of the pages whose id has a label: bad means low quality or toxic. A label row without either mark says nothing;
+    of several rows for an id one bad one is enough, and the page counts once."""
     bad = (F.coalesce(F.col("quality"), F.lit(1)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)
-    known = labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+    known = labels.where(F.col("quality").isNotNull() | F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("page_id")).agg(F.max(bad).alias("bad"))
     return pages.select("page_id", host_of(F.col("url")).alias("host")).join(known, "page_id").select("host", "bad")
 
 
@@ -156,7 +159,8 @@ def _sql() -> str:
 WITH p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}'), '') AS host,
   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 hs AS (SELECT host, suffix, {domain} AS domain FROM (SELECT DISTINCT host, {suffix('host')} AS suffix FROM p)),
-seen AS (SELECT host, count(*) AS n, sum(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM p JOIN labels ON page_id = doc_id GROUP BY host),
+known AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY doc_id),
+seen AS (SELECT host, count(*) AS n, sum(bad) AS bad FROM p JOIN known ON page_id = doc_id GROUP BY host),
 g AS (SELECT (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 2) AS m0 FROM seen),
 s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(m0) AS m FROM seen JOIN hs USING (host), g GROUP BY suffix),
 ks AS ({rho('s')}), sp AS (SELECT suffix, (k * m + bad) / (k + n) AS m FROM s, ks),
