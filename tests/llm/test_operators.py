@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quietcount.llm import decontamination, embedding_dedup, kernel, line_dedup, minhash_dedup, pieces, quality, sharding, toxicity, url_filters
 
@@ -77,6 +78,72 @@ def test_shards_are_even_and_gapless(spark):
     assert len({r["shard"] for r in sharding.shard_documents(docs(spark, texts), None, 5000).collect()}) > 4
 
 
+def kd_by_hand(points, weights, shards):
+    """Rows in order of their number; each node is cut at its weighted median along its widest dimension."""
+    reach = [max(max(x) - min(x), 1e-300) for x in zip(*points, strict=True)]
+    out = {}
+
+    def split(rows, first, k):
+        if k == 1:
+            out.update(dict.fromkeys(rows, first))
+            return
+        half = k // 2
+        if len(rows) < 2:
+            return split(rows, first, half)
+        wide = max(range(len(reach)), key=lambda d: ((max(points[i][d] for i in rows) - min(points[i][d] for i in rows)) / reach[d], -d))
+        rows = sorted(rows, key=lambda i: (points[i][wide], i))
+        need, at = sum(weights[i] for i in rows) * half / k, 0
+        while need > weights[rows[at]]:
+            need -= weights[rows[at]]
+            at += 1
+        at += 2 * need >= weights[rows[at]]
+        split(rows[:at], first, half)
+        split(rows[at:], first + half, k - half)
+
+    split(list(range(len(points))), 0, shards)
+    return out
+
+
+@pytest.mark.parametrize("shards,small", [(1, 9), (6, 1), (13, 50_000)])
+def test_shards_against_a_tree_by_hand(spark, monkeypatch, shards, small):
+    monkeypatch.setattr(sharding, "SMALL", small)
+    rng = random.Random(shards)
+    rows = [(i, float(rng.randrange(6)), rng.random() if i % 3 else None, float(i % 2), rng.randrange(1, 500)) for i in range(300)]
+    df = spark.createDataFrame(rows, "i long, x double, y double, z double, w long").coalesce(1).sortWithinPartitions("i")
+    got = {r.i: r["shard"] for r in sharding.kd_shards(df, {c: F.col(c) for c in "xyz"}, "w", shards).collect()}
+    assert got == kd_by_hand([[v or 0.0 for v in r[1:4]] for r in rows], [r[4] for r in rows], shards)
+
+
+def test_hot_lines_and_hosts_are_spread(spark):
+    line = "this line stands on every site there is"
+    texts = [f"{line}\n{line} {i} and some more" for i in range(3000)]
+    with_conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k) for k in with_conf}
+    for k, v in with_conf.items():
+        spark.conf.set(k, v)
+    lines = line_dedup._keyed(docs(spark, texts), "text", "source", "doc_id", line_dedup.Spread())
+    hot = lines.groupBy("k1", "k2").count().where("count > 2000").select("k1", "k2")
+    dealt = line_dedup._dealt(lines, lines.select("k1", "k2").distinct(), hot)
+    sizes = [len(x) for x in dealt.select("salt").rdd.glom().collect()]
+    for k, v in old.items():
+        spark.conf.set(k, v)
+    assert sum(sizes) == 6000 and max(sizes) < 2 * 6000 / 16
+
+
+def test_url_ties_cases_and_empty_labels(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/x", "z"), (1, "http://a.org/x", "z"), (2, "http://b.com/", "y")], "page_id long, URL string, HOST string")
+    both = [("block", "a.org", "/x"), ("allow", "org", "/x")]
+    none = spark.createDataFrame([], "host string, bad boolean")
+    same = [("block", "a.org", "/"), ("allow", "a.org", "/")]
+    assert [r.verdict for r in url_filters.filter_urls(pages, none, url="URL", rules=both).collect()].count("block") == 2
+    assert {r.verdict for r in url_filters.filter_urls(pages, none, url="URL", rules=same).where("page_id = 1").collect()} == {"block"}
+    assert {r.verdict for r in url_filters.filter_urls(pages, none, url="URL", rules=same[::-1]).where("page_id = 1").collect()} == {"allow"}
+    labels = spark.createDataFrame([(1, None, None), (2, 1, 0), (2, 1, 0), (2, None, 1)], "doc_id long, quality int, toxic int")
+    seen = url_filters.labelled_pages(pages.withColumnRenamed("URL", "url"), labels).collect()
+    assert [(r.host, r.bad) for r in seen] == [("b.com", True)]
+    assert url_filters.filter_urls(pages.limit(0), none, url="URL").count() == 0
+
+
 def test_line_dedup_keeps_the_first(spark):
     line = "this line stands on every site there is"
     texts = [f"start {i}\n{line}\nshort\nend {i}" for i in range(7)] + [None, "", line + "\n" + line]
