@@ -27,28 +27,39 @@ def generator(secret: bytes, *name: object) -> np.random.Generator:
 
 
 def noise_path(steps: int, sigma: float, rng: np.random.Generator) -> np.ndarray:
-    """Noise in the prefix sum at each step. Every node of a complete binary tree holds independent noise; a node's
-    estimate joins its own with its children's, each weighted by inverse variance; a prefix is the sum of its canonical nodes."""
-    if sigma == 0:
-        return np.zeros(steps)
+    """Noise in the prefix sum at each step, of one tree."""
+    return noise_paths(steps, sigma, [rng])[0]
+
+
+def noise_paths(steps: int, sigma: float, rngs: list[np.random.Generator]) -> np.ndarray:
+    """Noise in the prefix sum at each step, a row for each generator. Every node of a complete binary tree holds independent
+    noise; a node's estimate joins its own with its children's, each weighted by inverse variance; a prefix is the sum of
+    its canonical nodes."""
+    if sigma == 0 or not rngs:
+        return np.zeros((len(rngs), steps))
     n = leaves(steps)
-    levels = [rng.normal(0, sigma, n)]
-    h = 0
-    while len(levels[-1]) > 1:
-        h += 1
-        below = levels[-1]
-        own = rng.normal(0, sigma, len(below) // 2)
-        share = 2.0**h / (2.0 ** (h + 1) - 1)
-        levels.append(share * own + (1 - share) * (below[::2] + below[1::2]))
+    drawn = sigma * np.stack([rng.standard_normal(2 * n - 1) for rng in rngs])
     i = np.arange(1, steps + 1)
-    out = np.zeros(steps)
-    for h, est in enumerate(levels):
+    out, below, at, h = np.zeros((len(rngs), steps)), drawn[:, :n], n, 0
+    while True:
         bit = np.flatnonzero(i >> h & 1)
-        out[bit] += est[(i[bit] >> h) - 1]
-    return out
+        out[:, bit] += below[:, (i[bit] >> h) - 1]
+        size = below.shape[1] // 2
+        if not size:
+            return out
+        h += 1
+        share = 2.0**h / (2.0 ** (h + 1) - 1)
+        below = share * drawn[:, at : at + size] + (1 - share) * (below[:, ::2] + below[:, 1::2])
+        at += size
 
 
 def zipf_mandelbrot_cdf(n: int, q: float, s: float) -> np.ndarray:
     p = (np.arange(1, n + 1) + q) ** -s
     c = np.cumsum(p)
     return c / c[-1]
+
+
+def zipf_mandelbrot_mean(n: int, q: float, s: float) -> float:
+    """Expected rank: H(s - 1) / H(s) - q, over the generalised harmonic numbers of ranks 1 + q to n + q."""
+    k = np.arange(1, n + 1) + q
+    return float((k ** (1 - s)).sum() / (k**-s).sum() - q)

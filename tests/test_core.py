@@ -4,14 +4,15 @@ import sys
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from quietcount.functions.calibration import calibrate
+from quietcount.functions.calibration import calibrate, round_budget
 from quietcount.functions.noise import noise_path, variances
-from quietcount.operators import bounding, merge
-from quietcount.operators.histogram import KeyState, Mechanism, dp_histogram, mechanism
+from quietcount.operators import bounding, histogram, merge
+from quietcount.operators.histogram import Mechanism, dp_histogram, dp_releases, mechanism
 from quietcount.params import CompositionMode, DPParams
 from quietcount.plans import catalog
-from quietcount.streaming.mechanism import StreamingHistogram
+from quietcount.streaming.mechanism import Clock, StreamingHistogram, run_bounded
 
 #: Mode, steps, eps, delta, sigma of keys, sigma of the histogram, beta, quantile.
 GOLDEN = [
@@ -42,29 +43,96 @@ def test_noise_variance():
     assert np.allclose(x.var(0) / variances(100, 2.0), 1, atol=0.12) and np.abs(x.mean(0)).max() < 0.3
 
 
-def test_zero_noise_cases():
-    m = mechanism(16, 5, None)
-    s = {0: (20.0, {f"u{i}" for i in range(20)}), 1: (5.0, {f"v{i}" for i in range(5)})}
-    assert m.replay("k", s) == [(0, 20.0), (1, 25.0)]
-    assert mechanism(16, 10, None).replay("k", {0: (50.0, {f"u{i}" for i in range(5)})}) == []
-
-
-def test_prediction_releases_on_noise_alone():
+def by_hand(m, key, rows):
+    """The mechanism for one key, step by step, with the users themselves. rows: (user, value, step)."""
+    out, seen, start, due, count, buffer, released, rounds = [], set(), False, None, 0, 0.0, 0.0, 0
+    hist = m.paths([key], "hist", [0])[0]
+    for t in range(m.steps):
+        own = [(u, v) for u, v, s in rows if s == t]
+        if not own and due != t:
+            continue
+        if own and not start:
+            start, seen, count, rounds = True, set(), 0, rounds + 1
+        buffer += sum(v for _, v in own)
+        count += len({u for u, _ in own} - seen)
+        seen |= {u for u, _ in own}
+        noise = m.paths([key], "key", [rounds - 1])[0]
+        due = None
+        if count + noise[t] >= m.bar[t]:
+            released, buffer, start = released + buffer, 0.0, False
+            out.append((key, t, released + hist[t]))
+        elif own:
+            due = next((x for x in range(t + 1, m.steps) if count + noise[x] >= m.bar[x]), None)
+    return out
+
+
+def rows_of(seed, users=14, keys=6, steps=12, n=400):
+    rng = random.Random(seed)
+    return [(f"u{rng.randrange(users)}", f"k{min(rng.randrange(keys), rng.randrange(keys))}", float(rng.randrange(1, 3)), rng.randrange(steps)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("seed,mu,sigma,quantile", [(1, 3, 0.0, 0.0), (2, 4, 1.5, 0.8), (3, 1, 4.0, 1.0), (4, 9, 2.0, 0.0)])
+def test_mechanism_against_one_key_by_hand(spark, monkeypatch, seed, mu, sigma, quantile):
+    rows = rows_of(seed)
+    m = Mechanism(12, mu, sigma, sigma / 2, quantile, b"secret")
+    want = sorted(x for k in {r[1] for r in rows} for x in by_hand(m, k, [(u, v, t) for u, key, v, t in rows if key == k]))
+    df = spark.createDataFrame(rows, "user string, key string, value double, step int").repartition(5)
+    assert sorted(map(tuple, dp_releases(df, m).collect())) == want
+
+
+def test_mechanism_in_pieces(spark):
+    """Keys that arrive in several batches are stepped whole."""
+    rows = rows_of(7, keys=40, n=900)
+    m = Mechanism(12, 2, 1.0, 1.0, 0.5, b"secret")
+    df = spark.createDataFrame(rows, "user string, key string, value double, step int")
+    want = sorted(map(tuple, dp_releases(df, m).collect()))
+    old, old_rows = histogram.KEYS, histogram.ROWS
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        histogram.KEYS, histogram.ROWS = 2, 10
+        assert sorted(map(tuple, dp_releases(df, m).collect())) == want
+    finally:
+        histogram.KEYS, histogram.ROWS = old, old_rows
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_zero_noise_cases(spark):
+    say = lambda rows: spark.createDataFrame(rows, "user string, key string, value double, step int")
+    rows = [(f"u{i}", "k", 1.0, 0) for i in range(20)] + [(f"v{i}", "k", 1.0, 1) for i in range(5)]
+    assert [tuple(r) for r in dp_releases(say(rows), mechanism(16, 5, None)).orderBy("step").collect()] == [("k", 0, 20.0), ("k", 1, 25.0)]
+    few = [(f"u{i}", "k", 10.0, 0) for i in range(5)]
+    assert dp_releases(say(few), mechanism(16, 10, None)).count() == 0
+
+
+def test_prediction_releases_on_noise_alone(spark):
     m = Mechanism(32, 3.0, 4.0, 1.0, 0.5, b"s")
-    for k in range(60):
-        s = KeyState()
-        m.step(f"k{k}", s, 0, 1.0, {"u"})
-        if s.due is not None:
-            assert [t for t, _ in m.replay(f"k{k}", {0: (1.0, {"u"})})][0] == s.due
-            return
-    raise AssertionError("nothing was predicted")
-
-
-@pytest.mark.parametrize("w,seq,want", [(8, [0], [1]), (8, [-1], [0]), (8, [7, 7], [1, 0]), (8, [10, 8, 9, 8], [1, 1, 1, 0]), (4, [0, 1, 2, 3, 7, 3], [1, 1, 1, 1, 1, 0]), (4, [5, 2, 2], [1, 1, 0]), (8, [5, 6, 30, 5], [1, 1, 1, 0])])
-def test_replay(spark, w, seq, want):
-    rows = spark.createDataFrame([(i, "p", s) for i, s in enumerate(seq)], "i int, p string, s long")
-    kept = {r.i for r in merge.replay_filter(rows, "p", "s", ["i"], w).collect()}
-    assert [int(i in kept) for i in range(len(seq))] == want
+    rows = [("u", f"k{k}", 1.0, 0) for k in range(60)]
+    got = {r.key: r.step for r in dp_releases(spark.createDataFrame(rows, "user string, key string, value double, step int"), m).collect()}
+    want = {k: x[0][1] for _, k, _, _ in rows if (x := by_hand(m, k, [("u", 1.0, 0)]))}
+    assert got == want and any(t > 0 for t in want.values())
+
+
+@pytest.mark.parametrize("window", [1, 5, 128])
+def test_replay_against_a_window_model(spark, window):
+    rng = random.Random(window)
+    arrivals, at = [], 0
+    for _ in range(400):
+        at = max(-3, at + rng.choice((-2 * window, -window, -1, 0, 1, 1, 1, 2, window, 3 * window)))
+        arrivals.append(at)
+    seen, newest, want = set(), None, []
+    for i, n in enumerate(arrivals):  # by hand: the numbers seen and the newest one accepted or not
+        if n >= 0 and n not in seen and (newest is None or n > newest - window):
+            want.append(i)
+        seen.add(n)
+        newest = n if newest is None else max(newest, n)
+    rows = spark.createDataFrame([(i, "p", n) for i, n in enumerate(arrivals)], "i int, p string, s long")
+    assert sorted(r.i for r in merge.replay_filter(rows, "p", "s", ["i"], window).collect()) == want
+
+
+@pytest.mark.parametrize("mode", [CompositionMode.DWORK_ANALYTICAL, CompositionMode.OPTIMAL_KOV])
+def test_one_contribution_has_the_whole_budget(mode):
+    assert round_budget(mode, 3.0, 6.67e-10, 1) == (3.0, 6.67e-10)
+    assert round_budget(mode, 0.0, 1e-9, 4) == (0.0, 2.5e-10)
 
 
 def test_null_users(spark):
@@ -74,18 +142,28 @@ def test_null_users(spark):
     assert bounding.bound_records(rows, "user", ["i"], 1, event_level=True).count() == 2
 
 
-def test_streaming_equals_bounded_and_repeats(spark, tmp_path):
-    rng = random.Random(2)
-    rows = [(f"u{rng.randrange(12)}", f"k{rng.randrange(4)}", 1.0, t) for t in range(6) for _ in range(25)]
+def test_streaming_equals_bounded_and_restarts(spark, tmp_path):
+    """Micro-batches of a file stream, stopped after some and started again, release what the bounded run does."""
+    rows, clock = rows_of(2, steps=6, n=150), Clock(1000, 0)
     m = Mechanism(8, 2.0, 0.7, 0.5, 1.0, b"secret")
     df = spark.createDataFrame(rows, "user string, key string, value double, step int")
-    s = StreamingHistogram(spark, str(tmp_path / "h"), m)
-    for t in range(8):
-        s.step(df.where(f"step = {t}").drop("step"), t)
-        if t == 3:
-            s = StreamingHistogram(spark, str(tmp_path / "h"), Mechanism(8, 2.0, 0.7, 0.5, 1.0, b"other"))  # keeps its secret
-            s.step(df.where("step = 3").drop("step"), 3)
-    assert sorted(map(tuple, s.histogram(7).collect())) == sorted(map(tuple, dp_histogram(df, m).collect()))
+    source = str(tmp_path / "in")
+    (tmp_path / "in").mkdir()
+    timed = df.withColumn("ts", F.timestamp_millis(F.col("step") * 1000 + 500))
+    stream = spark.readStream.schema("user string, key string, value double, step int, ts timestamp").option("maxFilesPerTrigger", 1).parquet(source)
+    for t in range(3):
+        timed.where(f"step = {t}").coalesce(1).write.mode("append").parquet(source)
+    seen, stale = [], []
+    run = lambda secret: StreamingHistogram(spark, str(tmp_path / "h"), Mechanism(8, 2.0, 0.7, 0.5, 1.0, secret), clock, lambda r, e: seen.append(e), stale.append)
+    assert run_bounded(run(b"secret").start(stream, availableNow=True)) >= 3
+    for t in range(3, 6):
+        timed.where(f"step = {t}").coalesce(1).write.mode("append").parquet(source)
+    end = spark.createDataFrame([("end", "end", 0.0, 99, 10**9)], "user string, key string, value double, step int, ms long")
+    end.withColumn("ts", F.timestamp_millis("ms")).drop("ms").coalesce(1).write.mode("append").parquet(source)
+    s = run(b"other")  # the folder keeps its secret
+    run_bounded(s.start(stream, availableNow=True))
+    assert sorted(map(tuple, s.histogram().collect())) == sorted(map(tuple, dp_histogram(df, m).collect()))
+    assert seen
     with pytest.raises(ValueError):
         StreamingHistogram(spark, str(tmp_path / "h"), Mechanism(9, 2.0, 0.7, 0.5, 1.0, b""))
 
