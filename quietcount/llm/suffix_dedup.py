@@ -17,7 +17,6 @@ in a row make a block. Equal windows have equal anchors at equal places, so only
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quietcount.llm.kernel import P, U, cut, ensure_checkpoints, map_text, mix, others, positional, powers, slices
+from quietcount.llm.kernel import P, U, cut, found, map_text, mix, others, positional, powers, slices, stored
 
 
 @dataclass(frozen=True)
@@ -37,6 +36,8 @@ class Repeats:
     gram: int = 32
     #: different blocks of an anchor that one task sorts at once
     crowd: int = 20_000
+    #: as many crowded anchors are sent to every task; if there are more, the texts are shuffled to their blocks
+    listed: int = 1 << 20
     seed: int = 0
 
     def __post_init__(self):
@@ -65,15 +66,6 @@ RUNS = "num long, a long, n long, num0 long, a0 long"
 CUTS = "v long, kind byte, num long, at long, bytes binary"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Written as a table to the shared folder and read again: shorter than a checkpoint of rows."""
-    spark = df.sparkSession
-    ensure_checkpoints(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def prefix_sums(data: np.ndarray, seed: int) -> np.ndarray:
     """Sums of the bytes' random codes, which ``seed`` draws, times powers."""
     pw, _ = powers(len(data))
@@ -133,8 +125,23 @@ def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return np.asarray(batch.column(batch.schema.get_field_index(name)))
 
 
-def _scan(r: Repeats):
-    """The blocks of every text. A text longer than a segment is scanned segment by segment, one window apart."""
+def _split(v, row, a, c, q, base, sums, r: Repeats, level: int):
+    """Blocks cut at every ``width`` places of the anchor: (key, text, first window, windows, anchor's place) of the parts. A part is
+    keyed by the string that all its possible windows share, which is longer the fewer those are."""
+    width = -(-r.reach // (1 << level))
+    low, high = (q - c + 1) // width, q // width
+    n = high - low + 1
+    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+    row, a, c, q = (np.repeat(y, n) for y in (row, a, c, q))
+    most, least = np.minimum(k * width + width - 1, q), np.maximum(k * width, q - c + 1)
+    anchor = base[row] + a + q
+    key = string_hash(sums, anchor - k * width, anchor - (k * width + width - 1) + r.span)
+    return mix(key + mix((k + 1).astype(np.uint64) * R + U(level))), row, a + q - most, most - least + 1, most
+
+
+def _scan(r: Repeats, crowded: tuple = ()):
+    """The blocks of every text; with ``crowded``, sorted anchors for each level so far, the parts of their blocks only. A text longer
+    than a segment is scanned segment by segment, one window apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,10 +149,14 @@ def _scan(r: Repeats):
                 num = _column(part, "num")
                 for s in range(0, max(len(data), 1), SEGMENT) if part.num_rows == 1 else (0,):
                     own = data[s : s + SEGMENT + r.span - 1]
-                    sums, v, a, c, q, text = blocks(off if part.num_rows > 1 else np.array([0, len(own)]), own, r)
-                    x = _block_hash(sums, a, c, r)
-                    at = pack(a - off[:-1][text] + s, c, q)
-                    yield from _batches([v.view(np.int64), x.view(np.int64), num[text], at], ["v", "x", "num", "at"])
+                    here = off if part.num_rows > 1 else np.array([0, len(own)])
+                    sums, v, a, c, q, row = blocks(here, own, r)
+                    a = a - here[:-1][row]
+                    for level, anchors in enumerate(crowded, 1):
+                        some = np.flatnonzero(found(v, anchors.value))
+                        v, row, a, c, q = _split(v[some], *(y[some] for y in (row, a, c, q)), here[:-1], sums, r, level)
+                    x = _block_hash(sums, here[:-1][row] + a, c, r)
+                    yield from _batches([v.view(np.int64), x.view(np.int64), num[row], pack(a + s, c, q)], ["v", "x", "num", "at"])
 
     return run
 
@@ -230,26 +241,16 @@ def _asked(part: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
 
 
 def _finer(r: Repeats, level: int):
-    """Cut the blocks of crowded anchors at every ``width`` places of the anchor: a part is keyed by the string that all its
-    possible windows share, which is longer the fewer those are."""
-    width = -(-r.reach // (1 << level))
+    """The parts of the blocks that are asked of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, off, data in slices(batch, "text", SEGMENT):
                 row, (at,) = _asked(part)
-                a, c, q = unpack(at)
-                low, high = (q - c + 1) // width, q // width
-                n = high - low + 1
-                k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-                row, a, c, q = (np.repeat(y, n) for y in (row, a, c, q))
-                most, least = np.minimum(k * width + width - 1, q), np.maximum(k * width, q - c + 1)
-                begin, anchor = a + q - most, off[:-1][row] + a + q
                 sums = prefix_sums(data, r.seed)
-                key = string_hash(sums, anchor - k * width, anchor - (k * width + width - 1) + r.span)
-                v = mix(key + mix((k + 1).astype(np.uint64) * R + U(level)))
-                x = _block_hash(sums, off[:-1][row] + begin, most - least + 1, r)
-                yield from _batches([v.view(np.int64), x.view(np.int64), _column(part, "num")[row], pack(begin, most - least + 1, most)], ["v", "x", "num", "at"])
+                v, row, a, c, q = _split(None, row, *unpack(at), off[:-1], sums, r, level)
+                x = _block_hash(sums, off[:-1][row] + a, c, r)
+                yield from _batches([v.view(np.int64), x.view(np.int64), _column(part, "num")[row], pack(a, c, q)], ["v", "x", "num", "at"])
 
     return run
 
@@ -516,7 +517,8 @@ def _numbered(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, bool]
 
 def _repeats(texts: DataFrame, r: Repeats) -> DataFrame:
     """(num, a, n): runs of windows of each text that also start earlier. ``texts`` has num, text and any other columns."""
-    gone, near, rows, level = [], [], texts.select("num", "text").mapInArrow(_scan(r), BLOCKS), 0
+    gone, near, known, level = [], [], [], 0
+    rows = texts.select("num", "text").mapInArrow(_scan(r), BLOCKS)
     while True:
         g, n, crowded = _level(rows, r)
         gone.append(g)
@@ -524,8 +526,13 @@ def _repeats(texts: DataFrame, r: Repeats) -> DataFrame:
         if r.reach <= 1 << level or not crowded.limit(1).count():
             break
         level += 1
-        asked = crowded.groupBy("num").agg(F.collect_list(F.struct("at")).alias("asked"))  # one document's blocks
-        rows = texts.join(asked, "num").mapInArrow(_finer(r, level), BLOCKS)
+        anchors = cut(crowded.select("v").distinct())
+        if len(known) == level - 1 and anchors.count() <= r.listed:  # few enough to send to every task: the texts stay where they are
+            known.append(texts.sparkSession.sparkContext.broadcast(np.sort(np.array([v for (v,) in anchors.collect()], np.int64).view(np.uint64))))
+            rows = texts.select("num", "text").mapInArrow(_scan(r, tuple(known)), BLOCKS)
+        else:
+            asked = crowded.groupBy("num").agg(F.collect_list(F.struct("at")).alias("asked"))
+            rows = texts.join(asked, "num").select("num", "text", "asked").mapInArrow(_finer(r, level), BLOCKS)
     union = lambda parts: reduce(DataFrame.unionByName, parts)
     runs = stored(union(gone).repartition("num").sortWithinPartitions("num", "at").mapInArrow(_runs, RUNS))
     key, none = F.xxhash64("num0", "a0", "n"), F.lit(0).cast("long")

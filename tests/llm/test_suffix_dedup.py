@@ -46,11 +46,11 @@ def texts(seed):
     return rows + [(100, None), (101, ""), (102, "x" * 900), (103, "ab" * 400 + passage), (104, passage * 3), (105, "é" * 99)]
 
 
-@pytest.mark.parametrize("span,crowd", [(100, 20_000), (100, 1), (50, 3), (300, 2), (300, 20_000), (1, 9), (7, 2)])
-def test_against_brute_force(spark, span, crowd):
+@pytest.mark.parametrize("span,crowd,listed", [(100, 20_000, 0), (100, 1, 9999), (100, 1, 20), (50, 3, 0), (300, 2, 9999), (1, 9, 9)])
+def test_against_brute_force(spark, span, crowd, listed):
     rows = texts(1)
     df = spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id long, text string, n_bytes string").repartition(5)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in remove_repeats(df, r=Repeats(span=span, crowd=crowd)).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in remove_repeats(df, r=Repeats(span=span, crowd=crowd, listed=listed)).collect()}
     assert got == brute(rows, span)
 
 
