@@ -24,13 +24,13 @@ def words_of(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t)
 
 
-@pytest.mark.parametrize("block", [1 << 20, 400])
+@pytest.mark.parametrize("block", [1 << 26, 6000])
 def test_decontamination_against_brute_force(spark, block):
     rng = random.Random(3)
     items = [(i, say(rng, n, 60)) for i, n in enumerate((30, 12, 10, 9, 5, 3, 1, 40))] + [(8, None), (9, "..."), (1, say(rng, 11)), (None, say(rng, 15))]
     texts = [None, "", "...", "x" * 5000] + [say(rng, rng.randrange(1, 50), 60) for _ in range(40)]
     texts += [say(rng, 5) + ", " + items[k][1].upper() + "! " + say(rng, 4) for k in range(8)] + [items[0][1]] * 2
-    got = {r.doc_id: r for r in decontamination.digest(decontamination.match_benchmark(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"), block_bytes=block)).collect()}
+    got = {r.doc_id: r for r in decontamination.digest(decontamination.match_benchmark(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"), index_bytes=block)).collect()}
     for d, t in enumerate(texts):
         w = words_of(t)
         hit, found = set(), set()
@@ -46,6 +46,21 @@ def test_decontamination_against_brute_force(spark, block):
         assert (got[d].n_words, got[d].n_hit, got[d].n_items, got[d].items_sha256) == want
 
 
+def test_decontamination_in_blocks_keeps_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b c d", "x", "y", "z")], "doc_id long, text string, _spans string, _ITEMS string, N_Hit string")
+    items = spark.createDataFrame([(i, t) for i, t in enumerate(["a b", "d", "q r", "b c d"])], "item_id long, text string")
+    out = decontamination.match_benchmark(df, items, index_bytes=150)
+    r = out.first().asDict()
+    assert out.columns[:4] == ["doc_id", "text", "_spans", "_ITEMS"] and r["n_hit"] == 4 and r["hit_items"] == ["0", "1", "3"] and r["hit_spans"] == [0, 4]
+
+
+def test_decontamination_index_is_bounded():
+    rng = random.Random(1)
+    rows = [(i, say(rng, 200, 90_000)) for i in range(500)]
+    index = decontamination.Index(rows)
+    assert index.nbytes <= sum(len(t) + decontamination.WORD_BYTES * 200 for _, t in rows)
+
+
 def test_url_rules_and_odd_urls(spark):
     urls = ["http://a.net/x", "https://www.EXAMPLE.net/en/1?q", "http://example.com/de/1", "http://x.example.com/fr/", "http://y.org/fr/a", "net", None, "http://net", "ftp://notnet/", "http://a.net?x://b.org/fr/"]
     pages = spark.createDataFrame([(i, u, "z") for i, u in enumerate(urls)], "page_id long, url string, host string")
