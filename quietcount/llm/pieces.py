@@ -1,7 +1,10 @@
 """SentencePiece encoding by forward filtering and backward sampling, and lossless decoding.
 
-A text is cut before every run of blanks: no piece of the vocabulary reaches over such a cut, so the lattice of pieces
-falls apart there and each distinct part is filtered once a slice. Forward filtering gives every byte position the log
+A text is cut before every run of blanks: no piece of the vocabulary reaches over such a cut (this is checked when it is read; one with
+such pieces gets no cuts), so the lattice of pieces falls apart there and each distinct part is filtered once a slice. It also falls
+apart wherever no piece that occurs reaches over a place: all stretches between those places are filtered at once, and
+a part without blanks is cut there, window by window. A stretch that stays long is filtered byte by byte, with a few numbers a byte
+in memory. Forward filtering gives every byte position the log
 sum of all ways to reach it; backward sampling draws the last piece, then the one before it, and so on, in
 proportion to those sums. The random numbers come from a counter-based generator keyed by the row's key, so a row's
 pieces are the same on every run, machine and partitioning.
@@ -15,16 +18,18 @@ the merge's rank; there a piece's probability follows Zipf's law in that rank.
 
 from __future__ import annotations
 
+import math
 import os
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quietcount.llm.kernel import P, P_INV, U, map_arrow, map_text, mix, named_again, others, positional, powers
+from quietcount.llm.kernel import P, P_INV, SLICE_BYTES, U, map_arrow, map_text, mix, named_again, others, positional, powers
 
 MODEL = os.environ.get("QUIETCOUNT_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 META = "▁"
@@ -72,6 +77,9 @@ class Vocabulary:
         self.logp = np.array(score) - total
         self.logp[self.byte_id] = kept.min() - total - 2.0
         self._own, self._trie = own, None
+        self.longest = max((len(b) for b in own), default=1)
+        #: whether no piece goes on with a blank after something else
+        self.blank_cuts = not any(b" " in b.lstrip(b" ") for b in own)
         size = np.array([len(b) for b in self.bytes])
         self.start = np.concatenate([[0], np.cumsum(size)])
         self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
@@ -112,12 +120,65 @@ def vocabulary(path: str) -> Vocabulary:
     return _loaded[path]
 
 
-def parts_of(off: np.ndarray, data: np.ndarray) -> np.ndarray:
-    """Starts of the parts: at each text's first byte and before each run of blanks."""
+WINDOW = 1 << 16
+#: stretches of more bytes are filtered byte by byte
+LONG = 512
+
+
+def matches(v: Vocabulary, data: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, bytes, piece) of every occurrence of a piece that starts at a byte of ``end`` and ends there at the latest."""
+    at, state = np.arange(len(end)), np.zeros(len(end), np.int32)
+    out: tuple[list, list, list] = ([], [], [])
+    depth, (step_to, ends) = 0, v.trie
+    while len(at):
+        state = step_to[state, data[at + depth]]
+        depth += 1
+        ok = state > 0
+        at, state = at[ok], state[ok]
+        hit = ends[state] >= 0
+        for x, y in zip(out, (at[hit], np.full(int(hit.sum()), depth), ends[state[hit]]), strict=True):
+            x.append(y)
+        more = end[at] > at + depth
+        at, state = at[more], state[more]
+    return tuple(np.concatenate(x or [np.zeros(0, int)]) for x in out)
+
+
+def edges(v: Vocabulary, data: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``matches`` and byte pieces for every character that has no piece of its own."""
+    froms, lens, ids = matches(v, data, end)
+    lead = (data & 0xC0) != 0x80
+    char = np.cumsum(lead) - 1
+    if len(data) and not lead[0]:  # a window may begin inside a character
+        char += 1
+    width = np.bincount(char) if len(data) else np.zeros(0, int)
+    covered = np.zeros(len(width), bool)
+    single = (width[char[froms]] == lens) & lead[froms]
+    covered[char[froms[single]]] = True
+    bare = np.flatnonzero(~covered[char[: len(end)]])
+    return np.concatenate([froms, bare]), np.concatenate([lens, np.ones(len(bare), int)]), np.concatenate([ids, v.byte_id[data[bare]]])
+
+
+def parts_of(v: Vocabulary, off: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Starts of the parts: at each text's first byte, before each run of blanks, and in what is long without one wherever no
+    piece reaches over."""
     blank = data == 0x20
-    first = blank.copy()
+    first = blank & v.blank_cuts
     first[1:] &= ~blank[:-1]
     first[off[:-1][off[:-1] < len(data)]] = True
+    start = np.flatnonzero(first)
+    size = np.diff(np.append(start, len(data)))
+    for k in np.flatnonzero(size > LONG).tolist():
+        a, b = int(start[k]), int(start[k] + size[k])
+        reached = np.zeros(b - a + 1, np.int32)  # by how many pieces each place is passed
+        for s in range(a, b, WINDOW):
+            e = min(b, s + WINDOW)
+            own = data[s : min(b, e + v.longest)]
+            at, lens, _ = matches(v, own, np.full(e - s, len(own)))
+            np.add.at(reached, at + 1 + s - a, 1)
+            np.add.at(reached, at + lens + s - a, -1)
+        free = np.cumsum(reached[:-1]) == 0
+        free[0] = False
+        first[a:b] |= free & ((data[a:b] & 0xC0) != 0x80)  # never inside a character
     return np.flatnonzero(first)
 
 
@@ -144,34 +205,7 @@ class Lattice:
         size = np.diff(off)
         node = off[:-1] + np.arange(len(size))  # position 0 of each part; it has size + 1 positions
         inside = np.repeat(np.arange(len(size)), size)
-        left = off[1:][inside] - np.arange(n)  # bytes up to the part's end
-        at, state = np.arange(n), np.zeros(n, np.int32)
-        froms, lens, ids = [], [], []
-        depth, (step_to, ends) = 0, v.trie
-        while len(at):
-            state = step_to[state, data[at + depth]]
-            depth += 1
-            ok = state > 0
-            at, state = at[ok], state[ok]
-            hit = ends[state] >= 0
-            froms.append(at[hit])
-            lens.append(np.full(int(hit.sum()), depth))
-            ids.append(ends[state[hit]])
-            more = left[at] > depth
-            at, state = at[more], state[more]
-        froms, lens, ids = np.concatenate(froms or [np.zeros(0, int)]), np.concatenate(lens or [np.zeros(0, int)]), np.concatenate(ids or [np.zeros(0, int)])
-        # a character without a piece of its own is made of byte pieces
-        lead = (data & 0xC0) != 0x80
-        char = np.cumsum(lead) - 1
-        width = np.bincount(char) if n else np.zeros(0, int)
-        first = np.flatnonzero(lead)
-        covered = np.zeros(len(first), bool)
-        single = width[char[froms]] == lens if len(froms) else np.zeros(0, bool)
-        covered[char[froms[single & lead[froms]]]] = True
-        bare = np.flatnonzero(~covered[char]) if n else np.zeros(0, int)
-        froms = np.concatenate([froms, bare])
-        lens = np.concatenate([lens, np.ones(len(bare), int)])
-        ids = np.concatenate([ids, v.byte_id[data[bare]]])
+        froms, lens, ids = edges(v, data, np.repeat(off[1:], size))
         word = inside[froms]
         src = froms + word
         dst = src + lens
@@ -214,13 +248,22 @@ def encode_slice(v: Vocabulary, off: np.ndarray, data: np.ndarray, keys: np.ndar
     rows = len(off) - 1
     if not len(data):
         return np.zeros(rows + 1, np.int64), np.zeros(0, np.int32)
-    start = parts_of(off, data)
+    start = parts_of(v, off, data)
     text = np.searchsorted(off[1:], start, "right")
     with np.errstate(over="ignore"):
         seed = mix(mix(keys.astype(np.uint64) + U(s.seed))[text] + (start - off[text]).astype(np.uint64) * P)
     steps, out, a = [], [], 0
+    size = np.diff(np.append(start, len(data)))
     while a < len(start):  # parts are sampled apart, so a text of any length goes through in runs of bounded size
+        if size[a] > LONG:
+            ids = encode_long(v, data[start[a] : start[a] + size[a]], int(seed[a]), s)
+            steps.append(np.array([len(ids)]))
+            out.append(ids)
+            a += 1
+            continue
         b = max(a + 1, int(np.searchsorted(start, start[a] + SLICE, "right")) - 1) if start[a] + SLICE < len(data) else len(start)
+        long = np.flatnonzero(size[a:b] > LONG)
+        b = a + int(long[0]) if len(long) else b
         end = start[b] if b < len(start) else len(data)
         own = _encode_parts(v, start[a:b] - start[a], data[start[a] : end], seed[a:b], s)
         steps.append(own[0])
@@ -230,6 +273,54 @@ def encode_slice(v: Vocabulary, off: np.ndarray, data: np.ndarray, keys: np.ndar
     return upto[np.searchsorted(start, off)], np.concatenate(out)
 
 
+def encode_long(v: Vocabulary, data: np.ndarray, seed: int, s: Sampling) -> np.ndarray:
+    """Piece ids of one part that falls apart nowhere: byte by byte, with a number for each byte and the edges of one window in memory."""
+    n, back = len(data), max(v.longest, 4)
+    sums = [0.0] * (n + 1)
+
+    def window(a: int, b: int) -> tuple[list, list, list, list]:
+        """Edges that end after a and up to b, by end and longest first: bounds for each end, starts, scores, pieces."""
+        low, high = max(0, a - back), min(n, b + 3)
+        froms, lens, ids = edges(v, data[low:high], np.full(high - low, high - low))
+        src, dst = froms + low, froms + low + lens
+        some = np.flatnonzero((dst > a) & (dst <= b))
+        some = some[np.argsort(dst[some] * np.int64(256) + (255 - lens[some]))]
+        bounds = np.searchsorted(dst[some], np.arange(a + 1, b + 2))
+        return bounds.tolist(), src[some].tolist(), (v.logp[ids[some]] * s.alpha).tolist(), ids[some].tolist()
+
+    for a in range(0, n, WINDOW):
+        b = min(n, a + WINDOW)
+        bounds, src, score, _ = window(a, b)
+        for d in range(a + 1, b + 1):
+            x = [sums[src[k]] + score[k] for k in range(bounds[d - a - 1], bounds[d - a])]
+            if len(x) == 1:
+                sums[d] = x[0]
+            elif x:
+                top = max(x)
+                sums[d] = top + math.log(sum([math.exp(y - top) for y in x]))
+            else:
+                sums[d] = -math.inf  # inside a character
+    out, d, step, drawn = [], n, 0, []
+    for a in range((n - 1) // WINDOW * WINDOW, -1, -WINDOW):
+        bounds, src, score, ids = window(a, min(n, a + WINDOW))
+        while d > a:
+            if step % 4096 == 0:
+                with np.errstate(over="ignore"):
+                    at = np.arange(step, step + 4096, dtype=np.uint64)
+                    drawn = ((mix(U(seed) + at * P_INV) >> U(11)).astype(float) * 2.0**-53).tolist()
+            u, last = drawn[step % 4096], bounds[d - a] - 1
+            k, upto = bounds[d - a - 1], 0.0
+            while True:
+                upto += math.exp(sums[src[k]] + score[k] - sums[d])
+                if k == last or upto > u:
+                    break
+                k += 1
+            out.append(ids[k])
+            d = src[k]
+            step += 1
+    return np.array(out[::-1], np.int32)
+
+
 def _encode_parts(v: Vocabulary, start: np.ndarray, data: np.ndarray, seed: np.ndarray, s: Sampling) -> tuple[np.ndarray, np.ndarray]:
     """(how many pieces each part has, piece ids) of the parts that start at ``start`` and fill ``data``."""
     one, which = distinct_parts(start, data)
@@ -265,7 +356,8 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", carry: list
     """``carry`` columns of every row (all by default) and ``pieces``, the sampled ids.
 
     The key is a number; rows with equal keys and equal texts get equal pieces, and a null key counts as 0. A null or
-    empty text has no pieces. A column called ``pieces`` is replaced.
+    empty text has no pieces; one of any length goes through in runs of bounded size. Of equal scores no piece is preferred. An
+    empty table gives an empty result. A column called ``pieces``, in any case, is replaced.
     """
     names = docs.columns if carry is None else carry
     docs, at = positional(docs)
@@ -287,30 +379,32 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", carry: list
 
 
 def decode(rows: DataFrame, pieces: str = "pieces", to: str = "decoded", model: str = MODEL) -> DataFrame:
-    """All columns of ``rows`` and the text of ``pieces``; null pieces give a null text."""
+    """All columns of ``rows`` and the text of ``pieces``; null pieces give a null text, none an empty one. Rows go through in slices of
+    bounded bytes, or one by one; an empty table gives an empty result; a column called like ``to``, in any case, is replaced.
+    """
     names = others(rows.columns, [to])
     schema = T.StructType([rows.schema[c] for c in names] + [T.StructField(to, T.StringType())])
 
     def run(batches):
         v = vocabulary(model)
         for big in batches:
-            at = 0
+            column = big.column(big.schema.get_field_index(pieces))
+            bounds = np.asarray(column.offsets).astype(np.int64)
+            values = np.asarray(column.values)[bounds[0] : bounds[-1]]
+            upto = np.concatenate([[0], np.cumsum(v.start[values + 1] - v.start[values])])
+            bounds -= bounds[0]
+            cuts, at = upto[bounds], 0  # where each row's text begins
             while at < big.num_rows:
-                b = big.slice(at, 512)
-                at += b.num_rows
-                ids = b.column(b.schema.get_field_index(pieces))
-                bounds = np.asarray(ids.offsets).astype(np.int64)
-                values = np.asarray(ids.values)[bounds[0] : bounds[-1]]
-                size = v.start[values + 1] - v.start[values]
-                upto = np.concatenate([[0], np.cumsum(size)])
-                flat = v.flat[np.arange(upto[-1]) + np.repeat(v.start[values] - upto[:-1], size)]
-                cuts = upto[bounds - bounds[0]]
-                text = pa.StringArray.from_buffers(len(ids), pa.py_buffer(cuts.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes()))
-                if ids.null_count:
-                    import pyarrow.compute as pc
-
-                    text = pc.if_else(ids.is_valid(), text, None)
-                yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in names], text], [*names, to])
+                end = max(at + 1, int(np.searchsorted(cuts, cuts[at] + SLICE_BYTES, "right")) - 1)
+                own, ids = cuts[at : end + 1] - cuts[at], values[bounds[at] : bounds[end]]
+                size = v.start[ids + 1] - v.start[ids]
+                flat = v.flat[np.arange(own[-1]) + np.repeat(v.start[ids] - (np.cumsum(size) - size), size)]
+                text = pa.StringArray.from_buffers(end - at, pa.py_buffer(own.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes()))
+                part = big.slice(at, end - at)
+                if column.null_count:
+                    text = pc.if_else(column.slice(at, end - at).is_valid(), text, None)
+                yield pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(c)) for c in names], text], [*names, to])
+                at = end
 
     return map_arrow(rows, run, schema)
 
@@ -325,7 +419,8 @@ def op4_sentencepiece(spark, sf_dir: str) -> DataFrame:
 
 
 def encode_stage(docs: DataFrame) -> DataFrame:
-    """The documents with their own columns, ``pieces`` and ``n_pieces``."""
+    """The documents with their own columns, ``pieces`` and ``n_pieces``; nulls, empty and long texts, ties, repeated rows and empty tables
+    as in ``encode``: a row without text has no pieces and stays."""
     return encode(docs).withColumn("n_pieces", F.size("pieces").cast("long"))
 
 
