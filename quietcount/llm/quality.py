@@ -124,9 +124,9 @@ def with_neighbours(f: np.ndarray, lines: np.ndarray) -> np.ndarray:
     return np.hstack([f, np.minimum(f * f, 16), before, after, first[:, None], last[:, None]])
 
 
-def marginals(score: np.ndarray, lines: np.ndarray, pull: np.ndarray, pairs: bool = False):
-    """P(good) of each line by forward-backward, all texts at once, line by line; with ``pairs`` also the log partition
-    and the expected transitions. score: log potential of good over bad."""
+def marginals(score: np.ndarray, lines: np.ndarray, pull: np.ndarray, pairs: np.ndarray | None = None):
+    """P(good) of each line by forward-backward, all texts at once, line by line; with ``pairs``, a weight for each
+    line, also the expected transitions, each by its second line's weight. score: log potential of good over bad."""
     count = np.diff(lines)
     order = np.argsort(-count, kind="stable")
     start, count = lines[:-1][order], count[order]
@@ -150,7 +150,7 @@ def marginals(score: np.ndarray, lines: np.ndarray, pull: np.ndarray, pairs: boo
     s = alpha + beta
     z = np.logaddexp(s[:, 0], s[:, 1])
     p = np.exp(s[:, 1] - z)
-    if not pairs:
+    if pairs is None:
         return p
     inner = np.ones(len(score), bool)
     inner[lines[:-1]] = False
@@ -158,7 +158,7 @@ def marginals(score: np.ndarray, lines: np.ndarray, pull: np.ndarray, pairs: boo
     joint = np.zeros((2, 2))
     for i in (0, 1):
         for j in (0, 1):
-            joint[i, j] = np.exp(alpha[at - 1, i] + pull[i, j] + e[at, j] + beta[at, j] - z[at]).sum()
+            joint[i, j] = (np.exp(alpha[at - 1, i] + pull[i, j] + e[at, j] + beta[at, j] - z[at]) * pairs[at]).sum()
     return p, joint
 
 
@@ -192,14 +192,15 @@ def fit(texts: list[str], quality: np.ndarray, params: Field = Field()) -> Model
     share = np.where(quality == 1, 0.5 / max(quality.sum(), 1), 0.5 / max((1 - quality).sum(), 1))  # classes weigh alike
     inner = np.ones(len(y), bool)
     inner[lines[:-1]] = False
-    seen = np.array([[((y == 0) & inner).sum(), 0], [0, ((y == 1) & inner).sum()]], float)
     w, pull = np.zeros(x.shape[1]), np.zeros((2, 2))
+    # one objective: each document's log likelihood by its weight, of features and transitions alike, and one penalty
     each = np.repeat(share / n_lines, n_lines) * 1.0
+    seen = np.diag([(each * ((y == k) & inner)).sum() for k in (0, 1)])
     m = [np.zeros_like(w), np.zeros_like(pull)]
     v = [np.zeros_like(w), np.zeros_like(pull)]
     for step in range(1, params.steps + 1):
-        p, joint = marginals(x @ w, lines, pull, True)
-        grads = [x.T @ ((p - y) * each) + params.l2 * w, (joint - seen) / max(inner.sum(), 1) + params.l2 * 10 * pull]
+        p, joint = marginals(x @ w, lines, pull, each)
+        grads = [x.T @ ((p - y) * each) + params.l2 * w, joint - seen + params.l2 * pull]
         for k, (g, target) in enumerate(zip(grads, (w, pull), strict=True)):
             m[k] = 0.9 * m[k] + 0.1 * g
             v[k] = 0.99 * v[k] + 0.01 * g * g
@@ -217,7 +218,9 @@ def _logit(p: np.ndarray) -> np.ndarray:
 def score_quality(docs: DataFrame, model: Model, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``carry`` columns of every row (all by default) and score, predicted, line_good (P(good) of each line).
 
-    A null or empty text is one empty line. Repeated rows score alike, to nine decimals; columns named like a new one are replaced.
+    A null or empty text is one empty line; a text of any length is scored whole, its lines one after another. Repeated rows score
+    alike, to nine decimals; a score of one half is predicted 1. An empty table gives an empty result; columns named like a new
+    one, in any case, are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -255,7 +258,8 @@ def op8_quality(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with their own columns, that are not rejected."""
+    """The rows of ``docs``, with their own columns, that are not rejected: nulls, empty and long texts, ties, repeated rows and empty
+    tables as in ``score_quality``. Without labels every score is one half and all rows stay."""
     own, at = positional(docs)
     out = score_quality(own, train_quality(docs, labels), at["text"])
     return out.where("predicted = 1").select(*named_again(docs.columns, at))

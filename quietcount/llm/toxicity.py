@@ -115,38 +115,48 @@ def train_chain(docs: DataFrame, labels: DataFrame, chain: Chain = Chain(), wher
     return fit_chain([np.asarray(b, np.int64).view(np.uint64) for b in rows.bag], rows["size"].to_numpy(float), targets, chain)
 
 
+def _bitmaps(model: Fitted) -> list[np.ndarray]:
+    out = []
+    for words in model.words:
+        b = np.zeros(int(_BITS) + 1, bool)
+        b[(words & _BITS).astype(np.int64)] = True
+        out.append(b)
+    return out
+
+
+def probabilities(m: Fitted, words: Words, n: int, bits: list[np.ndarray] | None = None) -> list[np.ndarray]:
+    """Each category's probability of n texts, one category after another."""
+    where, value = traits(words)
+    low = (value & _BITS).astype(np.int64)
+    size, earlier = np.log1p(np.diff(words.range)) / 8, []
+    for own, bit, w in zip(m.words, bits or _bitmaps(m), m.weights, strict=True):
+        at = np.flatnonzero(bit[low])
+        at = at[found(value[at], own)]
+        k = max(len(own), 1)
+        pair = np.unique(words.text_of(where[at]) * k + np.searchsorted(own, value[at]))
+        logit = np.bincount(pair // k, weights=w[pair % k], minlength=n)[:n] if len(pair) else np.zeros(n)
+        logit = logit + size * w[len(own)] + w[-1]
+        for j, p in enumerate(earlier):
+            logit = logit + p * w[len(own) + 1 + j]
+        earlier.append(sigmoid(logit))
+    return earlier
+
+
 def score_toxicity(docs: DataFrame, model: Fitted, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``carry`` columns of every row (all by default) and p_<category> for each category of the chain.
 
-    A null or empty text has no words and gets what the models give for that. Without training rows every probability is
-    one half. Repeated rows score alike; columns named like a new one are replaced.
+    A null or empty text has no words and gets what the models give for that; a text of any length is scored whole. Without training
+    rows every probability is one half. Repeated rows score alike. An empty table gives an empty result; columns named like a
+    new one, in any case, are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
         m = shared.value
-        bits = []
-        for words in m.words:
-            b = np.zeros(int(_BITS) + 1, bool)
-            b[(words & _BITS).astype(np.int64)] = True
-            bits.append(b)
+        bits = _bitmaps(m)
 
         def work(off, data, part):
-            words, n = Words(off, data), len(off) - 1
-            where, value = traits(words)
-            low = (value & _BITS).astype(np.int64)
-            size, earlier = np.log1p(np.diff(words.range)) / 8, []
-            for own, bit, w in zip(m.words, bits, m.weights, strict=True):
-                at = np.flatnonzero(bit[low])
-                at = at[found(value[at], own)]
-                pair = np.unique(words.text_of(where[at]) * max(len(own), 1) + np.searchsorted(own, value[at]))
-                k = max(len(own), 1)
-                logit = np.bincount(pair // k, weights=w[pair % k], minlength=n)[:n] if len(pair) else np.zeros(n)
-                logit = logit + size * w[len(own)] + w[-1]
-                for j, p in enumerate(earlier):
-                    logit = logit + p * w[len(own) + 1 + j]
-                earlier.append(sigmoid(logit))
-            return [pa.array(p) for p in earlier]
+            return [pa.array(p) for p in probabilities(m, Words(off, data), len(off) - 1, bits)]
 
         return work
 

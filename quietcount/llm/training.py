@@ -5,10 +5,14 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from quietcount.llm.kernel import stored
 
-def training_rows(docs: DataFrame, labels: DataFrame, columns: list[str], limit: int, where=None) -> DataFrame:
-    """Whole texts of at most ``limit`` labelled documents, the same ones on every run: those whose ids hash lowest."""
+
+def training_rows(docs: DataFrame, labels: DataFrame, columns: list[str], limit: int, where=None, max_bytes: int = 32 << 20) -> DataFrame:
+    """Whole texts of at most ``limit`` labelled documents and ``max_bytes`` in all, the same ones on every run: those whose ids hash
+    lowest. A document's largest labels count; of rows that share an id the one of the shortest text, then lowest hash, is taken."""
     known = labels.where(F.col("doc_id").isNotNull())
     for c in columns:
         known = known.where(F.col(c).isNotNull())
@@ -16,7 +20,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, columns: list[str], limit:
         known = known.where(where)
     known = known.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in columns])
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)  # at most ``limit`` rows of a few numbers
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    body = F.coalesce(F.col("text"), F.lit(""))
+    rows = stored(docs.select("doc_id", body.alias("text"), F.octet_length(body).alias("_n"), F.xxhash64(body).alias("_k")).join(F.broadcast(known), "doc_id"))
+    one = rows.groupBy("doc_id").agg(F.min(F.struct("_n", "_k")).alias("_one"))  # a row for each of the known ids
+    upto = F.sum("_one._n").over(Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("doc_id"), "doc_id"))
+    some = one.withColumn("_upto", upto).where(F.col("_upto") <= max_bytes).select("doc_id", "_one._n", "_one._k")
+    return rows.join(F.broadcast(some), ["doc_id", "_n", "_k"]).dropDuplicates(["doc_id"]).select("doc_id", "text", *columns)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
