@@ -1,21 +1,25 @@
 """MinHash near-dedup by improved consistent weighted sampling over TF-IDF shingles.
 
-A text's five-word shingles weigh their count times their inverse document frequency. Document frequencies are counted
-over all documents in a hashed table of fixed size; the weight saturates at ``max_idf``, so it sets apart
-what more than a few hundredths of all documents share, at every corpus size, and hash collisions among rarer shingles change
-nothing. For each of bands x rows hash functions one shingle is drawn by consistent weighted sampling (two texts draw the
+A text's five-word shingles weigh their count times their inverse document frequency. Document frequencies are counted over
+all documents in a hashed table of fixed size, so that any corpus has a table that can be sent to every task. A bucket's count, less the
+mean of all buckets (what collisions add on average), stands for its shingles' frequency; the inverse is kept in steps of an eighth.
+For each of bands x rows hash functions one shingle is drawn by consistent weighted sampling (two texts draw the
 same one with the probability of their weighted Jaccard similarity). Texts that share a band are candidates; what counts
 is the weighted Jaccard similarity itself.
 
-No bucket is expanded into pairs: its members are verified against its first member, a join that adaptive execution can split.
-Buckets that verified links leave in several components go on to tiles of bounded size, which compare exactly the pairs
-whose components still differ. So no link is lost, and the common case is linear in the bucket.
+No bucket is expanded into pairs. Its members are compared with its first member, the leader, in a join that adaptive execution can
+split; those that are not linked with it are compared with a leader of their own, and so on, round by round. One minus
+the similarity is a metric, so a member linked with a leader and one that is not can only be linked if their distances to it
+differ by no more than a link's: the few that this leaves, and what is left after the last round, if it still lies in different
+components, is compared in tiles of bounded size. No link is lost, and the common case is linear in the bucket.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -34,13 +38,18 @@ class MinHash:
     threshold: float = 0.8
     bands: int = 10
     rows: int = 3
-    max_idf: float = 3.0
-    buckets: int = 1 << 21
+    #: a limit on the inverse document frequency; none unless given
+    max_idf: float | None = None
+    buckets: int = 1 << 24
+    #: leaders that a bucket gets before the rest of it is compared in tiles
+    rounds: int = 3
     tile: int = 512
     seed: int = 11
 
 
 CHUNK = 1 << 16
+#: as many numbers are sent to the texts; more are joined with them
+FEW = 100_000
 
 
 def shingles(off: np.ndarray, data: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,55 +80,90 @@ def shingles(off: np.ndarray, data: np.ndarray, n: int) -> tuple[np.ndarray, np.
     return np.searchsorted(o[order], np.arange(rows + 1)), h[order], tf[order]
 
 
-def document_frequencies(docs: DataFrame, text: str, m: MinHash) -> np.ndarray:
-    """How many rows have a shingle of each bucket: an array of ``buckets`` counts, whatever the corpus. Each task adds its
-    rows up and sends on chunks of the table, dense or sparse, whichever is smaller."""
+def _pack(counts: np.ndarray) -> bytes:
+    """Byte planes, compressed: most counts are small."""
+    return zlib.compress(np.ascontiguousarray(counts.view(np.uint8).reshape(len(counts), -1).T).tobytes(), 1)
+
+
+def _unpack(row: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(row), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+IDF_STEP = 0.125
+
+
+def idf_table(counts: np.ndarray, mean: float, n: int, m: MinHash) -> np.ndarray:
+    """Inverse document frequency of each bucket in steps of an eighth, one byte each."""
+    idf = np.log1p(n / np.maximum(counts - mean, 1))
+    if m.max_idf is not None:
+        idf = np.minimum(idf, m.max_idf)
+    return np.clip(np.round(idf / IDF_STEP), 1, 255).astype(np.uint8)
+
+
+def document_frequencies(docs: DataFrame, text: str, n: int, m: MinHash) -> np.ndarray:
+    """The weight of each bucket's shingles: a table of ``buckets`` bytes, whatever the corpus. Each task counts its rows up and sends on
+    compressed chunks of the table; each chunk's sum is kept in the shared folder, and only bytes reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(m.buckets, np.int32)
+        total, rows = np.zeros(m.buckets, np.uint16), 0
+
+        def chunks() -> Iterator[pa.RecordBatch]:
+            for c in range(0, m.buckets, CHUNK):
+                part = total[c : c + CHUNK]
+                if part.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([c // CHUNK], pa.int32()), pa.array([_pack(part)], pa.binary())], ["chunk", "counts"])
 
         for batch in batches:
             for _, off, data in slices(batch, text):
+                if rows + len(off) > 60_000:  # a count stays within its two bytes
+                    yield from chunks()
+                    total[:], rows = 0, 0
+                rows += len(off)
                 _, h, _ = shingles(off, data, m.shingle)
                 np.add.at(total, (h & U(m.buckets - 1)).astype(np.int64), 1)
-        for c in range(0, m.buckets, CHUNK):
-            part = total[c : c + CHUNK]
-            at = np.flatnonzero(part)
-            if not len(at):
-                continue
-            sparse = 6 * len(at) < 4 * len(part)
-            row = (b"s" + at.astype(np.uint16).tobytes() + part[at].tobytes()) if sparse else b"d" + part.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([c // CHUNK], pa.int32()), pa.array([row], pa.binary())], ["chunk", "counts"])
+        yield from chunks()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
+        last, own = None, None
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([int(own.sum())], pa.int64()), pa.array([_pack(own)], pa.binary())], ["chunk", "total", "counts"])
+
+        for batch in batches:  # sorted by chunk
             for c, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = total.setdefault(c, np.zeros(min(CHUNK, m.buckets), np.int64))
-                if row[:1] == b"d":
-                    own += np.frombuffer(row[1:], np.int32)
-                else:
-                    n = (len(row) - 1) // 6
-                    own[np.frombuffer(row[1 : 1 + 2 * n], np.uint16)] += np.frombuffer(row[1 + 2 * n :], np.int32)
-        for c, own in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([own.tobytes()], pa.binary())], ["chunk", "counts"])
-
-    schema = "chunk int, counts binary"
-    parts = docs.select(quoted(text)).mapInArrow(count, schema).repartition(max(1, m.buckets // CHUNK), "chunk").mapInArrow(add, schema)
-    out = np.zeros(m.buckets, np.int64)
-    for c, row in parts.collect():  # the table: ``buckets`` counts
-        out[c * CHUNK : (c + 1) * CHUNK] = np.frombuffer(row, np.int64)
+                if c != last:
+                    if last is not None:
+                        yield done()
+                    last, own = c, np.zeros(min(CHUNK, m.buckets), np.int64)
+                own += _unpack(row, np.uint16)
+        if last is not None:
+            yield done()
+
+    parts = docs.select(quoted(text)).mapInArrow(count, "chunk int, counts binary")
+    tasks = max(1, m.buckets // CHUNK)
+    added = cut(parts.repartition(tasks, "chunk").sortWithinPartitions("chunk").mapInArrow(add, "chunk int, total long, counts binary"))
+    mean = (added.agg(F.sum("total")).first()[0] or 0) / m.buckets
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [zlib.compress(idf_table(_unpack(r, np.int64), mean, n, m).tobytes(), 1) for r in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["chunk", "idf"])
+
+    out = idf_table(np.zeros(1), mean, n, m).repeat(m.buckets)
+    for c, row in added.mapInArrow(weigh, "chunk int, idf binary").collect():  # the table: ``buckets`` bytes
+        own = np.frombuffer(zlib.decompress(row), np.uint8)
+        out[c * CHUNK : c * CHUNK + len(own)] = own
     return out
 
 
 class Weigher:
-    def __init__(self, df: np.ndarray, n: int, m: MinHash):
-        self.m = m
-        self.idf = np.minimum(np.log1p(n / np.maximum(df, 1)), m.max_idf).astype(np.float32)
+    def __init__(self, idf: np.ndarray, m: MinHash):
+        self.m, self.idf = m, idf
 
     def weighted(self, off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         bounds, h, tf = shingles(off, data, self.m.shingle)
-        return bounds, h, tf * self.idf[(h & U(self.m.buckets - 1)).astype(np.int64)]
+        return bounds, h, tf * (self.idf[(h & U(self.m.buckets - 1)).astype(np.int64)] * np.float32(IDF_STEP))
 
 
 class Sampler:
@@ -177,15 +221,15 @@ def _verify(shared, m: MinHash):
         for batch in batches:
             ta, tb = batch.column("ta"), batch.column("tb")
             size = np.cumsum(np.diff(utf8(ta)[0]) + np.diff(utf8(tb)[0]))
-            keep, at = np.zeros(batch.num_rows, bool), 0
+            keep, at = np.zeros(batch.num_rows), 0
             while at < batch.num_rows:
                 end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_BYTES, "right")))
                 for i, a, x, y in zip(range(at, end), batch.column("a").slice(at, end - at).to_pylist(), _firsts(shared.value, ta.slice(at, end - at), batch.column("a").slice(at, end - at)), _sets(shared.value, tb.slice(at, end - at)), strict=True):
                     if x is not None:
                         last = (a, x)
-                    keep[i] = similarity(*last[1], *y) >= m.threshold
+                    keep[i] = similarity(*last[1], *y)
                 at = end
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(keep)], ["a", "b", "s"])
 
     return run
 
@@ -238,13 +282,71 @@ def _compare_tile(shared, m: MinHash):
     return run
 
 
+def _picked(texts: DataFrame, nums: DataFrame) -> DataFrame:
+    """The texts of some numbers: few numbers are sent to the texts, many leave the choice to the join that follows."""
+    some = cut(nums.distinct())
+    return texts.join(F.broadcast(some), "num") if some.count() <= FEW else texts
+
+
+def _linked(group: DataFrame, texts: DataFrame, weigher, m: MinHash) -> DataFrame:
+    """(node, component) of the members of buckets, (band, bucket, num), that links connect."""
+    where, slack = ["band", "bucket"], 1 - m.threshold
+    union = lambda parts: reduce(DataFrame.unionByName, parts)
+    links, stars = [], []
+    for k in range(m.rounds):
+        lead = cut(group.groupBy(*where).agg(F.min("num").alias("a")))
+        at = cut(group.join(lead, where))
+        pairs = cut(at.where("a <> num").select("a", F.col("num").alias("b")).distinct())
+        ta, tb = (_picked(texts, pairs.select(F.col(c).alias("num"))).select(F.col("num").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
+        both = pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").sortWithinPartitions("a")
+        seen = cut(both.mapInArrow(_verify(weigher, m), "a long, b long, s double"))
+        links.append(seen.where(F.col("s") >= m.threshold).select("a", "b"))
+        star = at.join(seen.withColumnRenamed("b", "num"), ["a", "num"], "left")
+        star = cut(star.select(*where, "num", F.coalesce("s", F.lit(1.0)).alias("s"), F.lit(k).alias("round")))
+        stars.append(star)
+        rest = star.where(F.col("s") < m.threshold)
+        open_ = cut(rest.groupBy(*where).agg(F.count("*").alias("n")).where("n > 1").select(*where))
+        group = cut(rest.select(*where, "num").join(open_, where))
+        if not group.limit(1).count():
+            break
+    parts = cut(components(union(links)))
+    now = lambda rows: rows.join(parts.withColumnRenamed("node", "num"), "num", "left").withColumn("comp", F.coalesce("component", "num")).drop("component")
+    # of each star: members not linked with its leader, near enough to one that is, and those
+    star, where = now(union(stars)), [*where, "round"]
+    out = star.where((F.col("s") < m.threshold) & (F.col("s") >= 1 - 2 * slack))
+    home = star.where("s = 1").groupBy(*where).agg(F.min("comp").alias("home"))
+    out = cut(out.join(cut(home), where).where("comp <> home").drop("home"))
+    limit = cut(out.groupBy(*where).agg(F.max("s").alias("most"), F.count("*").alias("n1")))
+    near = star.where((F.col("s") >= m.threshold) & (F.col("s") < 1)).join(limit, where).where(F.col("s") <= F.col("most") + slack + 1e-9).drop("most", "n1")
+    near = cut(near)
+    sizes = cut(limit.drop("most").join(near.groupBy(*where).agg(F.count("*").alias("n0")), where))
+    tiles = lambda c: F.ceil(F.col(c) / m.tile).cast("int")
+    spot = lambda n: F.pmod(F.xxhash64("num"), n).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    cross = [
+        rows.join(sizes, where).select(*where, spot(tiles(own)).alias("spot"), all_of(tiles(other)).alias("with"), F.lit(side).alias("side"), "num", "comp")
+        for rows, own, other, side in ((near, "n0", "n1", 0), (out, "n1", "n0", 1))
+    ]
+    cross = [x.select(*where, F.col("spot" if k == 0 else "with").alias("ti"), F.col("with" if k == 0 else "spot").alias("tj"), "side", "num", "comp") for k, x in enumerate(cross)]
+    # what no leader has claimed: every tile with itself and each other one
+    group = cut(now(group))
+    sizes = group.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
+    left = group.join(cut(sizes.where("c1 <> c2").drop("c1", "c2")), ["band", "bucket"]).select("band", "bucket", F.lit(m.rounds).alias("round"), spot(tiles("n")).alias("spot"), all_of(tiles("n")).alias("with"), "num", "comp")
+    left = left.select(*where, F.least("spot", "with").alias("ti"), F.greatest("spot", "with").alias("tj"), (F.col("spot") > F.col("with")).cast("int").alias("side"), "num", "comp")
+    todo = cut(union([*cross, left]))
+    held = todo.join(_picked(texts, todo.select("num")), "num")
+    more = cut(held.groupBy(*where, "ti", "tj").applyInPandas(_compare_tile(weigher, m), "a long, b long").distinct())
+    return components(union([*links, more])) if more.limit(1).count() else parts
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", m: MinHash = MinHash()) -> DataFrame:
     """(doc_id, text_key1, text_key2, class_id, kept) for every row of ``docs``.
 
     ``class_id`` is the smallest id over all texts that links (and equality) connect; ``kept`` marks the rows with
     that id. Texts without words (null and empty alike count as the empty text) link only with their equals. Rows
     with one id and one text are one document, kept together. Null ids count in a class but only represent one that has no
-    other id. An empty table gives an empty result; other columns are ignored.
+    other id. Of equal similarities none is preferred: a pair at the threshold links. Long texts are weighed whole, slice by slice. An empty
+    table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     body = F.coalesce(F.col(quoted(text)), F.lit(""))
@@ -253,8 +355,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     classes = cut(rows.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     classes = cut(classes.withColumn("num", F.monotonically_increasing_id()))
     n_rows = classes.agg(F.sum("n")).first()[0] or 0
-    df = document_frequencies(rows, "text", m)
-    weigher = spark.sparkContext.broadcast(Weigher(df, n_rows, m))
+    weigher = spark.sparkContext.broadcast(Weigher(document_frequencies(rows, "text", n_rows, m), m))
 
     def make():
         sampler = Sampler(m)
@@ -278,24 +379,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     bands = map_text(rows, "text", key, [T.StructField("bands", T.ArrayType(T.LongType()))], make)
     bands = bands.dropDuplicates(key).join(classes.select(*key, "num"), key).select("num", F.posexplode("bands").alias("band", "bucket"))
     bands = cut(bands)
-    buckets = bands.groupBy("band", "bucket").agg(F.min("num").alias("a"), F.count("*").alias("size")).where("size > 1")
-    shared_bands = cut(bands.join(buckets, ["band", "bucket"]))
-    pairs = cut(shared_bands.where("a <> num").select("a", F.col("num").alias("b")).distinct())
-    involved = shared_bands.select("num").distinct()
+    buckets = bands.groupBy("band", "bucket").agg(F.count("*").alias("size")).where("size > 1").select("band", "bucket")
+    group = cut(bands.join(cut(buckets), ["band", "bucket"]))
+    involved = group.select("num").distinct()
     texts = rows.join(classes.join(involved, "num").select(*key, "num", "rep"), key).where(F.col("doc_id").eqNullSafe(F.col("rep")))
     texts = cut(texts.select("num", "text").dropDuplicates(["num"]))
-    both = pairs.join(texts.select(F.col("num").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("num").alias("a"), F.col("text").alias("ta")), "a")
-    links = cut(both.select("a", "b", "ta", "tb").mapInArrow(_verify(weigher, m), "a long, b long"))
-    parts = components(links)
-    at = shared_bands.join(parts.withColumnRenamed("node", "num"), "num", "left").select("band", "bucket", "size", "num", F.coalesce("component", "num").alias("comp"))
-    open_ = at.groupBy("band", "bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("rows")).where("c1 <> c2").select("band", "bucket", F.ceil(F.col("rows") / m.tile).cast("int").alias("cuts"))
-    rest = at.join(open_, ["band", "bucket"]).join(texts, "num").withColumn("cut", F.pmod(F.xxhash64("num"), F.col("cuts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
-    tiles = rest.withColumn("other", other).select("band", "bucket", F.least("cut", "other").alias("ti"), F.greatest("cut", "other").alias("tj"), (F.col("cut") > F.col("other")).cast("int").alias("side"), "num", "comp", "text")
-    more = tiles.groupBy("band", "bucket", "ti", "tj").applyInPandas(_compare_tile(weigher, m), "a long, b long")
-    more = cut(more.distinct())
-    if more.limit(1).count():
-        parts = components(links.unionByName(more))
+    parts = _linked(group, texts, weigher, m)
     own = classes.join(parts.withColumnRenamed("node", "num"), "num", "left").withColumn("component", F.coalesce("component", "num"))
     least = own.groupBy("component").agg(F.min("rep").alias("class_id"))
     own = own.join(least, "component").select(*key, "class_id")
@@ -307,7 +396,8 @@ def op7_minhash_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with their own columns, that stay: one document of each class."""
+    """The rows of ``docs``, with their own columns, that stay: one document of each class, the one of smallest id. Its repeated rows stay
+    together; nulls, empty and long texts, ties and empty tables as in ``near_duplicates``."""
     own, at = positional(docs)
     body = F.coalesce(F.col(at["text"]), F.lit(""))
     marked = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_d"), F.col("text_key1").alias("_k1"), F.col("text_key2").alias("_k2")).distinct()

@@ -199,7 +199,8 @@ def test_embeddings_of_low_rank_lose_no_link(spark, rank):
     assert [got[i] for i in range(len(v))] == ((u @ u.T >= 0.93).sum(1) - 1).tolist()
 
 
-def test_minhash_against_brute_force(spark):
+@pytest.mark.parametrize("rounds,tile", [(1, 512), (3, 4)])
+def test_minhash_against_brute_force(spark, rounds, tile):
     rng = random.Random(8)
     base = [say(rng, 150, 5000) for _ in range(12)]
     texts = [None, "", "one two", "one two", "..."]
@@ -209,13 +210,18 @@ def test_minhash_against_brute_force(spark):
             for _ in range(k):
                 w[rng.randrange(len(w))] = f"new{rng.randrange(10**9)}"
             texts.append(" ".join(w))
-    m = minhash_dedup.MinHash(tile=4)
+    for k in range(40):  # one bucket of many: copies of one text, each further from it
+        w = base[0].split(" ")
+        for _ in range(1 + k // 4):
+            w[rng.randrange(len(w))] = f"other{rng.randrange(10**9)}"
+        texts.append(" ".join(w))
+    m = minhash_dedup.MinHash(rounds=rounds, tile=tile, bands=24, rows=2)
     got = {r.doc_id: r.class_id for r in minhash_dedup.near_duplicates(docs(spark, texts), m=m).collect()}
     off, data = kernel.utf8(__import__("pyarrow").array(texts))
     df = np.zeros(m.buckets, int)
     bounds, h, _ = minhash_dedup.shingles(off, data, m.shingle)
     np.add.at(df, (h & np.uint64(m.buckets - 1)).astype(int), 1)
-    b, h, w = minhash_dedup.Weigher(df, len(texts), m).weighted(off, data)
+    b, h, w = minhash_dedup.Weigher(minhash_dedup.idf_table(df, df.mean(), len(texts), m), m).weighted(off, data)
     sets = [dict(zip(h[x:y].tolist(), w[x:y].tolist(), strict=True)) for x, y in zip(b, b[1:], strict=False)]
     comp = list(range(len(texts)))
     jac = lambda x, y: sum(min(v, y.get(k, 0)) for k, v in x.items()) / max(sum(max(x.get(k, 0), y.get(k, 0)) for k in {*x, *y}), 1e-9)
@@ -242,6 +248,127 @@ def test_pieces_round_trip_and_repeat(spark):
     assert abs(share - np.exp(-2) / (np.exp(-2) + np.exp(-2.5))) < 0.02  # whole piece against two
 
 
+def little_vocabulary(words):
+    return pieces.Vocabulary(pieces=[(f"<0x{i:02X}>", 0.0, "byte") for i in range(256)] + [(w, -1.0 - 0.3 * k, "piece") for k, w in enumerate(words)])
+
+
+def segmentations(v, text):
+    """Every way to make the text of pieces, with its probability: a character without a piece of its own is made of bytes."""
+    by = {v.bytes[i]: i for i in range(256, len(v.bytes))}
+    b = text.encode()
+    found, chars = [], [c.encode() for c in text]
+
+    def go(at, ids, logp):
+        if at == len(b):
+            found.append((tuple(ids), logp))
+            return
+        for n in range(1, len(b) - at + 1):
+            i = by.get(b[at : at + n])
+            if i is not None:
+                go(at + n, [*ids, i], logp + v.logp[i])
+        char = next(c for k, c in enumerate(chars) if sum(map(len, chars[:k])) == at)
+        if char not in by:
+            own = [int(v.byte_id[x]) for x in char]
+            go(at + len(char), [*ids, *own], logp + sum(v.logp[i] for i in own))
+
+    go(0, [], 0.0)
+    total = sum(np.exp(x) for _, x in found)
+    return {ids: np.exp(x) / total for ids, x in found}
+
+
+@pytest.mark.parametrize("text", ["abab", "aab bab", "bé漢ab", "  ba", "ab▁c"])
+def test_pieces_against_every_segmentation(text):
+    v = little_vocabulary(["a", "b", "ab", "aba", "ba", " ", "  b", " b", "é", "bab"])
+    want = segmentations(v, text)
+    n = 30_000
+    off, data = kernel.utf8(__import__("pyarrow").array([text] * n))
+    bounds, ids = pieces.encode_slice(v, off, data, np.arange(n, dtype=np.uint64), pieces.Sampling())
+    got = {}
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        k = tuple(ids[a:b].tolist())
+        got[k] = got.get(k, 0) + 1 / n
+    assert set(got) <= set(want) and max(abs(got.get(k, 0) - p) for k, p in want.items()) < 0.015
+
+
+def test_pieces_of_long_parts(monkeypatch):
+    """Cut where nothing reaches over, or byte by byte in small windows: the same distribution's same draws, and lossless."""
+    rng = random.Random(2)
+    v = little_vocabulary(["a", "b", "ab", "aba", "ba", " ", "  b", "é", "bab", "cc", "ccc"])
+    text = "".join(rng.choice(["a", "b", "ab", "é", "漢", "c", "ccc"]) for _ in range(700))
+    own = np.frombuffer(text.encode(), np.uint8)
+    whole = pieces._encode_parts(v, np.array([0]), own, np.array([77], np.uint64), pieces.Sampling())[1]
+    monkeypatch.setattr(pieces, "WINDOW", 37)
+    assert pieces.encode_long(v, own, 77, pieces.Sampling()).tolist() == whole.tolist()
+    for long in (8, 100_000):
+        monkeypatch.setattr(pieces, "LONG", long)
+        _, ids = pieces.encode_slice(v, np.array([0, len(own)]), own, np.array([5], np.uint64), pieces.Sampling())
+        assert b"".join(v.bytes[i] for i in ids).decode() == text
+
+
+def test_pieces_that_cross_blanks_are_seen():
+    v = little_vocabulary(["a", "b", "a b"])
+    assert not v.blank_cuts and little_vocabulary(["a", " a", "  "]).blank_cuts
+    off, data = kernel.utf8(__import__("pyarrow").array(["a b"] * 4000))
+    bounds, _ = pieces.encode_slice(v, off, data, np.arange(4000, dtype=np.uint64), pieces.Sampling())
+    assert (np.diff(bounds) == 1).any()
+
+
+def test_quality_learns_nothing_held_out_and_follows_one_gradient(spark):
+    import zlib
+
+    texts = [f"Text number {i} has words." for i in range(300)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(300)] + [(5, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    rows = quality.training_rows(docs(spark, texts + texts[:20]), labels, ["quality"], 150, ~quality.held_out()).collect()
+    assert len(rows) == 150 and all(zlib.crc32(str(r.doc_id).encode()) % 3 != 1 for r in rows)
+    few = quality.training_rows(docs(spark, texts), labels, ["quality"], 150, ~quality.held_out(), max_bytes=1000).collect()
+    assert 0 < sum(len(r.text) for r in few) <= 1000
+    # the transitions' expected counts are the gradient of the log partition
+    rng = np.random.default_rng(1)
+    lines, weight = np.array([0, 4, 5, 9]), rng.random(3)
+    score, pull, each = rng.normal(size=9), rng.normal(size=(2, 2)), np.repeat(weight, [4, 1, 4])
+
+    def partition(pull):
+        total = 0.0
+        for k in range(3):
+            e = score[lines[k] : lines[k + 1]]
+            z = [sum(e[i] for i in range(len(e)) if y >> i & 1) + sum(pull[y >> i & 1, y >> i + 1 & 1] for i in range(len(e) - 1)) for y in range(1 << len(e))]
+            total += weight[k] * np.log(np.exp(z).sum())
+        return total
+
+    joint = quality.marginals(score, lines, pull, each)[1]
+    for i in (0, 1):
+        for j in (0, 1):
+            step = np.zeros((2, 2))
+            step[i, j] = 1e-5
+            assert abs((partition(pull + step) - partition(pull - step)) / 2e-5 - joint[i, j]) < 1e-6
+
+
+def test_chain_against_one_by_hand():
+    """Scores of a fitted chain, word by word in Python, and out-of-fold inputs from models that never saw the row."""
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "awful", "grim"]) for _ in range(rng.randrange(3, 12))) for _ in range(120)]
+    y = [np.array([float("awful" in t) for t in texts]), np.array([float("awful" in t and "grim" in t) for t in texts])]
+    bags = [np.unique(toxicity.traits(kernel.Words(*kernel.utf8(pa.array([t]))))[1]) for t in texts]
+    sizes = np.array([len(t.split()) for t in texts], float)
+    chain = toxicity.Chain()
+    fitted = toxicity.fit_chain(bags, sizes, y, chain)
+    assert fitted.names == ["unfit", "toxic"] and len(fitted.weights[1]) == len(fitted.words[1]) + 3  # words, size, earlier, constant
+    p = []
+    for words, w in zip(fitted.words, fitted.weights, strict=True):
+        rows = []
+        for k, (bag, n) in enumerate(zip(bags, sizes, strict=True)):
+            z = w[-1] + w[len(words)] * np.log1p(n) / 8 + sum(w[np.searchsorted(words, h)] for h in bag if h in words)
+            z += sum(w[len(words) + 1 + j] * q[k] for j, q in enumerate(p))
+            rows.append(1 / (1 + np.exp(-z)))
+        p.append(np.array(rows))
+    assert np.mean((p[0] >= 0.5) == y[0]) > 0.95 and np.mean((p[1] >= 0.5) == y[1]) > 0.9
+    one = kernel.utf8(pa.array(texts))
+    want = [list(x) for x in zip(*p, strict=True)]
+    assert toxicity.probabilities(fitted, kernel.Words(*one), len(texts)) == [pytest.approx([x[k] for x in want], abs=1e-9) for k in range(2)]
+
+
 def test_trained_operators(spark):
     rng = random.Random(6)
     good = [". ".join(say(rng, 8).capitalize() for _ in range(3)) + ".\n" + say(rng, 9).capitalize() + "." for _ in range(120)]

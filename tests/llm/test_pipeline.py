@@ -43,7 +43,7 @@ def one_of_each_class(rows):
     off, data = kernel.utf8(pa.array(texts))
     df = np.zeros(m.buckets, int)
     np.add.at(df, (minhash_dedup.shingles(off, data, m.shingle)[1] & np.uint64(m.buckets - 1)).astype(int), 1)
-    b, h, w = minhash_dedup.Weigher(df, len(texts), m).weighted(off, data)
+    b, h, w = minhash_dedup.Weigher(minhash_dedup.idf_table(df, df.mean(), len(texts), m), m).weighted(off, data)
     sets = [dict(zip(h[x:y].tolist(), w[x:y].tolist(), strict=True)) for x, y in itertools.pairwise(b)]
     comp = list(range(len(rows)))
     linked = []
