@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Names of required fields and the reserved key.
 REQUIRED = ("body", "category", "id", "rating")
 DUMMY = "__dummy"
 
@@ -51,7 +52,7 @@ def clamp(x: Column, limit: float, signed: bool = True) -> Column:
 def short_number(x: Column) -> Column:
     """1000000 as 1M, 2500 as 2.5K."""
     trimmed = lambda c: F.regexp_replace(F.format_string("%.1f", c), r"\.0$", "")
-    return F.when(x >= 1e6, F.concat(trimmed(x / 1e6), F.lit("M"))).when(x >= 1e3, F.concat(trimmed(x / 1e3), F.lit("K"))).otherwise(trimmed(x.cast("double")))
+    return F.when(x >= 1e6, F.concat(trimmed(x / 1e6), F.lit("M"))).when(x >= 1e3, F.concat(trimmed(x / 1e3), F.lit("K"))).when(x.isNotNull(), trimmed(x.cast("double")))
 
 
 def reverse_message(x: Column) -> Column:
@@ -69,3 +70,25 @@ def component_name(x: Column) -> Column:
 def status(completed: Column, timed_out: Column, out_of_memory: Column, has_data: Column) -> Column:
     """Later rules override earlier ones: completed, timed out, out of memory, no data."""
     return F.when(~has_data, "No data").when(out_of_memory, "OOM").when(timed_out, "Timed out").when(completed, "Completed")
+
+
+def run_label(parts: dict[str, Column]) -> Column:
+    """``t90 e50 p8``: each letter with its short number, in the order given; nulls are left out."""
+    return F.concat_ws(" ", *[F.concat(F.lit(k), short_number(c)) for k, c in parts.items()])
+
+
+def derived_metrics(rows: DataFrame, size_gb: str = "size_gb", records: str = "n_records", ms: str = "duration_ms") -> DataFrame:
+    """duration_s, gb_per_s and mrec_per_s of each run; null for a run that took no time."""
+    seconds = F.nullif(F.col(ms), F.lit(0)) / 1000.0
+    return rows.withColumns({"duration_s": F.col(ms) / 1000.0, "gb_per_s": F.col(size_gb) / seconds, "mrec_per_s": F.col(records) / 1e6 / seconds})
+
+
+def coalesced(rows: DataFrame, name: str, *sources: str) -> DataFrame:
+    """``name`` from the first of the columns that exists in the table and is not null in the row."""
+    have = [F.col(c) for c in (name, *sources) if c in rows.columns]
+    return rows.withColumn(name, F.coalesce(*have) if have else F.lit(None))
+
+
+def error_cause(message: Column) -> Column:
+    """The innermost cause of a chained message: what follows the last ``Caused by:``, on one line."""
+    return F.trim(F.regexp_extract(F.element_at(F.split(message, "Caused by:"), -1), r"^\s*([^\n]*)", 1))

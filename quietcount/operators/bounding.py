@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quietcount.functions.envelope import Features, same_origin, seal, unseal, valid_route
+from quietcount.functions.text import clamp, word_key
+
 
 def bound_records(rows: DataFrame, user: str, order_by: list[str], limit: int, event_level: bool = False) -> DataFrame:
     """The first ``limit`` records of each user. Null users are an error unless ``event_level``: then all of theirs stay."""
@@ -31,3 +34,36 @@ def bound_estimate(rows: DataFrame, user: str, count: str, percentile: float = 0
     """Interpolated percentile, least, most and mean of the users' totals, to choose a limit by."""
     t = user_totals(rows, user, count)
     return t.agg(F.percentile("total", F.lit(percentile)).alias("bound"), F.min("total").alias("least"), F.max("total").alias("most"), F.avg("total").alias("mean"))
+
+
+def bound_with_counts(rows: DataFrame, user: str, count: str, order_by: list[str], limit: int, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The accepted rows of ``bound_weighted``, and for each group of ``by`` how many rows were forwarded and dropped."""
+    before = F.coalesce(F.sum(F.greatest(F.col(count), F.lit(0))).over(Window.partitionBy(user).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    accepted = F.when((F.col(count) > 0) & F.col(user).isNotNull(), F.greatest(F.lit(0), F.least(F.col(count), F.lit(limit) - before))).otherwise(0)
+    judged = rows.withColumn("accepted", accepted)
+    went = (F.col("accepted") > 0).cast("long")
+    return judged.where("accepted > 0"), judged.groupBy(*by).agg(F.sum(went).alias("forwarded"), F.sum(1 - went).alias("dropped"))
+
+
+def check_and_clamp(sealed: DataFrame, key, limit: int, clamp_to: float, source: str, here: str, next_: str, order_by: list[str], features: Features = Features()) -> DataFrame:
+    """The whole bounding service over sealed (user, word, count) values: verify the route and the common origin, open, bound
+    each user, clamp, and seal again for the next component, with the routing key of the word.
+
+    A row that does not verify is dropped, or fails the query, as ``features.isolate`` says.
+    """
+    from quietcount.functions.envelope import aad, guarded
+
+    parts = [F.col(c) for c in ("user", "word", "count")]
+    ok = F.lit(True)
+    if features.route:
+        for c in parts:
+            ok = ok & valid_route(c, source, here)
+    if features.replay:
+        ok = ok & same_origin(*parts)
+    opened = [F.when(ok, unseal(c, key, features.scheme)) for c in parts]
+    rows = guarded(sealed, dict(zip(("_user", "_word", "_count"), opened, strict=True)), features)
+    bounded = bound_weighted(rows.withColumn("_count", F.col("_count").cast("long")), "_user", "_count", order_by, limit)
+    head = aad(F.lit(here), F.lit(next_))
+    value = clamp(F.col("accepted").cast("double"), clamp_to)
+    kept = [c for c in sealed.columns if c not in ("user", "word", "count")]
+    return bounded.select(*kept, seal(F.col("_user"), key, head, features.scheme).alias("user"), seal(F.col("_word"), key, head, features.scheme).alias("word"), seal(value.cast("string"), key, head, features.scheme).alias("count"), word_key(F.col("_word")).alias("routing_key"))

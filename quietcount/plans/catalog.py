@@ -461,3 +461,264 @@ def calibration_table(spark, d):
             c = calibration.calibrate(DPParams(mu=0, max_time_steps=t, composition=mode))
             rows.append((mode.value, t, c.eps_round, c.delta_round, c.sigma_key, c.sigma_hist, c.beta, c.quantile))
     return spark.createDataFrame(rows, "composition string, T int, eps_round double, delta_round double, sigma_key double, sigma_hist double, beta double, quantile double")
+
+
+#: Published constants of the three modes (mode, steps, eps, delta, sigma of keys, of the histogram, beta, quantile).
+_CONSTANTS = """('ZCDP_LINEAR', 100, '6.06350e-01', '2.08333e-11', '30.79013', '177.16957', '3.67596e-12', '6.8506'),
+('ZCDP_LINEAR', 1000, '6.06350e-01', '2.08333e-11', '36.80125', '211.75813', '3.67596e-12', '6.8506'),
+('DWORK_ANALYTICAL', 100, '7.52560e-02', '1.03149e-11', '215.58404', '177.16957', '2.48175e-12', '6.9066'),
+('DWORK_ANALYTICAL', 1000, '7.52560e-02', '1.03149e-11', '257.67221', '211.75813', '2.48175e-12', '6.9066'),
+('OPTIMAL_KOV', 100, '9.37500e-02', '2.08130e-11', '170.97643', '177.16957', '4.95952e-12', '6.8077'),
+('OPTIMAL_KOV', 1000, '9.37500e-02', '2.08130e-11', '204.35592', '211.75813', '4.95952e-12', '6.8077')"""
+
+
+@query(f"SELECT * FROM (VALUES {_CONSTANTS}) AS t(composition, T, eps_round, delta_round, sigma_key, sigma_hist, beta, quantile)")
+def calibration_golden(spark, d):
+    """The calibration's constants, to six digits, the quantile to five."""
+    small, plain = (lambda c: F.format_string("%.5e", c).alias(c)), (lambda c: F.format_string("%.5f", c).alias(c))
+    return calibration_table(spark, d).select("composition", "T", small("eps_round"), small("delta_round"), plain("sigma_key"), plain("sigma_hist"), small("beta"), F.format_string("%.4f", "quantile").alias("quantile"))
+
+
+# ---- bounding service
+
+
+@query(f"""WITH {_EV}, w AS (SELECT *, coalesce(sum(greatest(k, 0)) OVER (PARTITION BY "user" ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM ev)
+SELECT event_type, CAST(sum(CASE WHEN k > 0 AND used < 500 THEN 1 ELSE 0 END) AS BIGINT) AS forwarded, CAST(sum(CASE WHEN k > 0 AND used < 500 THEN 0 ELSE 1 END) AS BIGINT) AS dropped FROM w GROUP BY event_type""")
+def bounding_counters(spark, d):
+    return bounding.bound_with_counts(events(spark, d), "user", "k", ["ts", "event_id"], 500, ["event_type"])[1]
+
+
+_CHAIN_KEY = "000102030405060708090A0B0C0D0E0F101112131415161718191A1B1C1D1E1F"  # a test key
+
+
+def _sealed(spark, d, scheme):
+    """(event_id, ts, user, word, count) sealed values; every seventh one names another route."""
+    key = F.unhex(F.lit(_CHAIN_KEY))
+    here = F.when(F.col("event_id") % 7 == 0, "elsewhere").otherwise("bounding")
+    head = envelope.aad(F.lit("source"), here, {"producer_id": F.lit("p0"), "seq": F.col("event_id")})
+    one = lambda c, name: envelope.seal(c.cast("string"), key, head, scheme).alias(name)
+    return events(spark, d).select("event_id", "ts", one(F.col("user"), "user"), one(F.col("event_type"), "word"), one(F.col("k"), "count"))
+
+
+def _bounding_service(spark, d, scheme):
+    key, f = F.unhex(F.lit(_CHAIN_KEY)), envelope.Features(scheme=scheme)
+    out = bounding.check_and_clamp(_sealed(spark, d, scheme), key, 500, 60.0, "source", "bounding", "perturbation", ["ts", "event_id"], f)
+    opened = [envelope.unseal(F.col(c), key, scheme) for c in ("user", "word", "count")]
+    ok = envelope.valid_route(F.col("user"), "bounding", "perturbation")
+    return out.select("event_id", opened[0].alias("user_text"), opened[1].alias("word_text"), opened[2].cast("double").alias("value"), "routing_key", ok.alias("route_ok"))
+
+
+_SERVICE = f"""WITH {_EV}, w AS (SELECT *, coalesce(sum(k) OVER (PARTITION BY "user" ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM ev WHERE k > 0 AND event_id % 7 <> 0)
+SELECT event_id, CAST("user" AS VARCHAR) AS user_text, event_type AS word_text, CAST(least(60, least(k, 500 - used)) AS DOUBLE) AS value, sha256('word:' || event_type) AS routing_key, true AS route_ok FROM w WHERE used < 500"""
+
+
+@query(_SERVICE)
+def check_and_clamp(spark, d):
+    return _bounding_service(spark, d, "AES_256_GCM")
+
+
+@query(_SERVICE)
+def check_and_clamp_chacha(spark, d):
+    return _bounding_service(spark, d, "CHACHA20_POLY1305")
+
+
+@query(f"WITH {_EV} SELECT event_id, event_type AS word, 'bounding' AS source, 'perturbation' AS destination FROM ev WHERE event_id % 7 <> 0")
+def spout_reseal(spark, d):
+    """A source's values are opened and sealed again for the next component."""
+    key = F.unhex(F.lit(_CHAIN_KEY))
+    out = envelope.reseal(_sealed(spark, d, "AES_256_GCM").select("event_id", "word"), ["word"], key, "source", "bounding", "perturbation")
+    meta = envelope.parse_aad(F.col("word.associatedData"))
+    return out.select("event_id", envelope.unseal(F.col("word"), key).alias("word"), meta["source"].alias("source"), meta["destination"].alias("destination"))
+
+
+@query("SELECT * FROM (VALUES ('source', 'bounding'), ('bounding', 'perturbation'), ('perturbation', 'aggregation'), ('perturbation', 'log')) AS t(src, dst)")
+def topology_edges(spark, d):
+    return envelope.topology(spark, {"Source": ["Bounding"], "BOUNDING": ["perturbation"], "perturbation": ["Aggregation", "log", "LOG"]})
+
+
+# ---- partials: cover traffic and pending epochs
+
+
+@query(f"""WITH {_PART}, f AS (SELECT producer_id, min(epoch) AS e FROM pt WHERE epoch % 2 = 0 GROUP BY producer_id), g AS (SELECT producer_id, unnest(range(e, {STEPS})) AS epoch FROM f)
+SELECT producer_id, count(*) FILTER (WHERE s.n IS NULL) AS dummies, count(*) FILTER (WHERE s.n IS NOT NULL) AS real FROM g LEFT JOIN (SELECT producer_id, epoch, count(*) AS n FROM pt WHERE epoch % 2 = 0 GROUP BY ALL) s USING (producer_id, epoch) GROUP BY producer_id""")
+def cover_traffic(spark, d):
+    from quietcount.streaming.mechanism import with_cover
+
+    p = partials(spark, d).where("epoch % 2 = 0")
+    out = with_cover(p, spark.range(STEPS).select(F.col("id").cast("int").alias("epoch"))).select("producer_id", "epoch", (F.col("key") == text.DUMMY).alias("dummy")).distinct()
+    return out.groupBy("producer_id").agg(F.sum(F.col("dummy").cast("long")).alias("dummies"), F.sum((~F.col("dummy")).cast("long")).alias("real"))
+
+
+@query(f"""WITH {_PART}, p AS (SELECT * FROM pt WHERE NOT (producer_id = 'p1' AND epoch % 5 = 0)), e AS (SELECT epoch, count(DISTINCT producer_id) AS received FROM p GROUP BY epoch)
+SELECT epoch, received, (SELECT count(*) FROM e x WHERE x.epoch > e.epoch) >= 8 AS evicted FROM e WHERE received < 3""")
+def pending_epochs(spark, d):
+    p = partials(spark, d).where("NOT (producer_id = 'p1' AND epoch % 5 = 0)").withColumn("arrival", F.col("epoch"))
+    return merge.pending_epochs(p, 3, "arrival")
+
+
+# ---- profile analytics, continued
+
+
+@query(f"WITH {_EV}, {_PROF} SELECT component, task, epoch, CAST(sum(calls) OVER (PARTITION BY component, task ORDER BY epoch) AS BIGINT) AS running FROM pr")
+def profiler_running_total(spark, d):
+    return profile.running_total(profiler(spark, d), ["component", "task"], "epoch", "calls").select("component", "task", "epoch", "running")
+
+
+@query(f"WITH {_EV}, {_PROF} SELECT component, task, arg_max(calls, epoch) AS gauge FROM pr GROUP BY component, task")
+def gauge_last_write(spark, d):
+    return profile.last_gauges(profiler(spark, d), ["component", "task"], "epoch", "calls")
+
+
+@query(f"WITH {_EV}, {_PROF}, e AS (SELECT component, task, max(epoch) AS e FROM pr GROUP BY ALL) SELECT component, count(*) AS tasks, max(e) AS max_epoch, min(e) AS all_reached FROM e GROUP BY component")
+def run_progress(spark, d):
+    return profile.run_progress(profiler(spark, d), ["component"], "task", "epoch")
+
+
+@query(f"WITH {_RUNS} SELECT mode, p, count(*) AS runs FROM rn GROUP BY mode, p")
+def distinct_configs(spark, d):
+    return profile.distinct_configs(runs(spark, d), ["mode", "p"])
+
+
+@query(f"WITH {_RUNS} SELECT event_type, p, count(*) AS runs, round(avg(throughput), 6) AS throughput FROM rn GROUP BY ALL HAVING count(*) > 1")
+def report_average(spark, d):
+    return profile.report_average(runs(spark, d), ["event_type", "p"], ["throughput"]).withColumn("throughput", rnd("throughput"))
+
+
+@query(f"WITH {_RUNS} SELECT event_type, round(avg(throughput) FILTER (WHERE mode = 'base'), 6) AS base, round(avg(throughput) FILTER (WHERE mode = 'other'), 6) AS other FROM rn GROUP BY event_type")
+def pivot_mean(spark, d):
+    return profile.pivot_values(runs(spark, d), "event_type", "mode", ["base", "other"], "throughput").select("event_type", rnd("base").alias("base"), rnd("other").alias("other"))
+
+
+@query(f"WITH {_RUNS} SELECT event_type, sum(throughput) FILTER (WHERE mode = 'base') AS base, sum(throughput) FILTER (WHERE mode = 'other') AS other FROM rn GROUP BY event_type")
+def pivot_sum(spark, d):
+    return profile.pivot_values(runs(spark, d), "event_type", "mode", ["base", "other"], "throughput", "sum")
+
+
+@query(f"""WITH {_EV}, q AS (SELECT event_type, quantile_cont(amount, 0.25) AS q1, quantile_cont(amount, 0.5) AS median, quantile_cont(amount, 0.75) AS q3 FROM ev GROUP BY event_type)
+SELECT event_type, round(any_value(q1), 6) AS q1, round(any_value(median), 6) AS median, round(any_value(q3), 6) AS q3, min(amount) FILTER (WHERE amount BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS low, max(amount) FILTER (WHERE amount BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS high FROM ev JOIN q USING (event_type) GROUP BY event_type""")
+def box_quartiles(spark, d):
+    return profile.quartiles(events(spark, d), ["event_type"], "amount").withColumns({c: rnd(c) for c in ("q1", "median", "q3")})
+
+
+_BYTES = "octet_length(encode(to_json({'event_id': event_id, 'event_type': event_type})))"
+
+
+@query(f"""WITH s AS (SELECT {_BYTES} AS bytes FROM events), o AS (SELECT bytes, row_number() OVER (ORDER BY bytes) - 1 AS i, count(*) OVER () AS n FROM s)
+SELECT round(avg(bytes), 6) AS mean, min(bytes) AS least, max(bytes) AS most, min(bytes) FILTER (WHERE i >= least(floor(n * 0.5), n - 1)) AS p50, min(bytes) FILTER (WHERE i >= least(floor(n * 0.9), n - 1)) AS p90, min(bytes) FILTER (WHERE i >= least(floor(n * 0.99), n - 1)) AS p99 FROM o""")
+def tuple_sizes(spark, d):
+    out = profile.tuple_sizes(spark.read.parquet(f"{d}/events.parquet").select("event_id", "event_type"))
+    return out.select(rnd("mean").alias("mean"), *[F.col(c).cast("long").alias(c) for c in ("least", "most", "p50", "p90", "p99")])
+
+
+@query(f"WITH {_RUNS}, s AS (SELECT mode, event_type, sum(throughput) AS t FROM rn GROUP BY ALL) SELECT b.event_type, CASE WHEN abs(o.t / b.t - 1) <= 0.2 THEN 'OK' ELSE 'OFF' END AS verdict FROM s b JOIN s o ON b.event_type = o.event_type AND b.mode = 'base' AND o.mode = 'other'")
+def baseline_verdict(spark, d):
+    s = runs(spark, d).groupBy("event_type").pivot("mode", ["base", "other"]).agg(F.sum("throughput"))
+    return s.select("event_type", profile.verdict(F.col("other") / F.col("base")).alias("verdict"))
+
+
+@query(f"WITH {_EV}, {_PROF} SELECT component, epoch, min(t0) AS t0 FROM pr GROUP BY component, epoch")
+def first_marker_of_epoch(spark, d):
+    return profile.first_markers(profiler(spark, d), ["component"], "epoch", "t0")
+
+
+@query(f"WITH {_RUNS} SELECT mode, event_type, p, row_number() OVER (ORDER BY coalesce(p, -1), mode, event_type) AS place FROM rn")
+def nulls_first_order(spark, d):
+    """The order itself is the result: each row's place in it. The table has a row for each configuration."""
+    ordered = profile.sorted_by(runs(spark, d).select("mode", "event_type", "p"), ["p", "mode", "event_type"]).coalesce(1)
+    return ordered.withColumn("place", F.monotonically_increasing_id() + 1)
+
+
+@query(f"WITH {_RUNS}, b AS (SELECT event_type, p FROM rn GROUP BY ALL HAVING count(DISTINCT mode) = 2) SELECT mode, event_type, p, throughput FROM rn SEMI JOIN b ON rn.event_type = b.event_type AND rn.p IS NOT DISTINCT FROM b.p")
+def semi_by_overlap(spark, d):
+    return profile.shared_parameters(runs(spark, d), "mode", ["base", "other"], ["event_type", "p"])
+
+
+@query(f"WITH {_EV} SELECT event_id, CASE k % 4 WHEN 0 THEN 'red' WHEN 1 THEN 'green' WHEN 2 THEN 'blue' END AS entry FROM ev")
+def catalog_lookup(spark, d):
+    return profile.catalog_lookup(events(spark, d).withColumn("i", F.col("k") % 4), "i", ["red", "green", "blue"]).select("event_id", "entry")
+
+
+@query(f"WITH {_EV} SELECT event_id, k / 8.0 AS size_gb, round(k / 8.0 / nullif(event_id % 5000, 0) * 1000, 6) AS gb_per_s, round(n / 1e6 / nullif(event_id % 5000, 0) * 1000, 9) AS mrec_per_s, (event_id % 5000) / 1000 AS duration_s FROM ev")
+def derived_metrics(spark, d):
+    e = events(spark, d).select("event_id", F.when(F.col("k") % 2 == 0, F.col("k") / 8.0).alias("size_gb"), (F.col("k") / 8.0).alias("old_size"), F.col("n").alias("n_records"), (F.col("event_id") % 5000).alias("duration_ms"))
+    out = text.derived_metrics(text.coalesced(e, "size_gb", "batch_size_gb", "old_size"))
+    return out.select("event_id", "size_gb", rnd("gb_per_s").alias("gb_per_s"), rnd("mrec_per_s", 9).alias("mrec_per_s"), "duration_s")
+
+
+@query(f"WITH {_EV} SELECT event_id, round((epoch_us(ts) // 1000 - min(epoch_us(ts) // 1000) OVER (PARTITION BY event_type)) / 1000, 3) AS by_type_s, round((epoch_us(ts) // 1000 - min(epoch_us(ts) // 1000) OVER ()) / 1000, 3) AS elapsed_s FROM ev")
+def elapsed_time(spark, d):
+    out = profile.elapsed(profile.elapsed(events(spark, d), "ts", ["event_type"], "by_type_s"), "ts")
+    return out.select("event_id", rnd("by_type_s", 3).alias("by_type_s"), rnd("elapsed_s", 3).alias("elapsed_s"))
+
+
+@query(f"WITH {_EV} SELECT event_id FROM ev WHERE event_type IN ('click', 'view', 'purchase') AND k IN (1, 2, 3)")
+def membership_filters(spark, d):
+    return profile.selected(events(spark, d), event_type=["click", "view", "purchase"], k=[1, 2, 3], user=None).select("event_id")
+
+
+def _short(c: str) -> str:
+    cut = lambda x: f"regexp_replace(printf('%.1f', {x}), '\\.0$', '')"
+    return f"CASE WHEN {c} >= 1e6 THEN {cut(f'{c} / 1e6')} || 'M' WHEN {c} >= 1e3 THEN {cut(f'{c} / 1e3')} || 'K' ELSE {cut(f'CAST({c} AS DOUBLE)')} END"
+
+
+@query(f"WITH {_EV} SELECT event_id, 't' || {_short('event_id * 1000')} || ' e' || {_short('k')} || CASE WHEN k % 2 = 0 THEN ' p8' ELSE '' END AS label FROM ev")
+def run_labels(spark, d):
+    label = text.run_label({"t": F.col("event_id") * 1000, "e": F.col("k"), "p": F.when(F.col("k") % 2 == 0, F.lit(8))})
+    return events(spark, d).select("event_id", label.alias("label"))
+
+
+_LIFE = f"""{_EV}, {_PROF},
+s AS (SELECT component, task, epoch, t0 AS a, t1 AS z, calls FROM pr),
+g AS (SELECT component, task, epoch, a, z, calls, a - lag(a) OVER (PARTITION BY component, task ORDER BY epoch) AS gap FROM s)"""
+
+
+@query(f"""WITH {_LIFE},
+t AS (SELECT component, task, max(z) - min(a) AS active, sum(calls * 7.0) AS busy FROM s GROUP BY component, task),
+u AS (SELECT component, CAST(sum(active) AS BIGINT) AS active_ms, round(sum(greatest(0, active - busy)), 3) AS idle_ms FROM t GROUP BY component)
+SELECT component, tasks, max_epoch, round(epoch_ms, 3) AS epoch_ms, round(snapshot_ms, 3) AS snapshot_ms, active_ms, idle_ms, latency_ms, calls, compliance FROM (
+  SELECT component, count(DISTINCT task) AS tasks, CAST(max(epoch) AS BIGINT) AS max_epoch, avg(gap) AS epoch_ms, avg(z - a) AS snapshot_ms, 7.0 AS latency_ms, CAST(sum(calls) AS BIGINT) AS calls,
+    round(1 - sum(CASE WHEN abs(gap - {_DAY}) > 0.2 * {_DAY} THEN 1 ELSE 0 END) / count(gap), 6) AS compliance FROM g GROUP BY component) JOIN u USING (component)""")
+def run_summary(spark, d):
+    """The events as a profile: an epoch starts with a task's first event of the day, its snapshot lasts until the last one."""
+    pr = profiler(spark, d)
+    none, at = F.lit(None), lambda c: F.timestamp_millis(F.col(c)).alias("timestamp")
+    life = lambda name, c: pr.select(at(c), "component", F.col("task").alias("taskId"), F.lit("lifecycle").alias("type"), F.lit(name).alias("name"), F.col("epoch").cast("long").alias("total"), none.cast("long").alias("sampled"), none.cast("double").alias("avgMs"))
+    timer = pr.select(at("t0"), "component", F.col("task").alias("taskId"), F.lit("timer").alias("type"), F.lit("handle").alias("name"), F.col("calls").alias("total"), F.col("calls").alias("sampled"), F.lit(7.0).alias("avgMs"))
+    rows = timer
+    for name, c in (("epoch_start", "t0"), ("snapshot_start", "t0"), ("snapshot_end", "t1"), ("emit", "t0")):
+        rows = rows.unionByName(life(name, c))
+    out = profile.run_summary(rows, ["component"], float(_DAY))
+    return out.select("component", "tasks", "max_epoch", rnd("epoch_ms", 3).alias("epoch_ms"), rnd("snapshot_ms", 3).alias("snapshot_ms"), "active_ms", rnd("idle_ms", 3).alias("idle_ms"), rnd("latency_ms", 6).alias("latency_ms"), "calls", rnd("compliance").alias("compliance"))
+
+
+# ---- sources
+
+
+@query(f"WITH {_EV}, m AS (SELECT step AS batch_id, \"user\" % 4 AS task, min(ts) AS a, max(ts) AS z FROM ev GROUP BY ALL) SELECT batch_id, CAST(epoch_us(min(a)) // 1000 AS BIGINT) AS t_begin, CAST(epoch_us(max(z)) // 1000 AS BIGINT) AS t_end, count(*) >= 4 AS complete FROM m GROUP BY batch_id")
+def batch_markers(spark, d):
+    e = events(spark, d).groupBy(F.col("step").alias("batch_id"), (F.col("user") % 4).alias("task")).agg(F.unix_millis(F.min("ts").cast("timestamp")).alias("a"), F.unix_millis(F.max("ts").cast("timestamp")).alias("z"))
+    markers = e.select("batch_id", "task", F.lit("BEGIN").alias("kind"), F.col("a").alias("at")).unionByName(e.select("batch_id", "task", F.lit("END").alias("kind"), F.col("z").alias("at")))
+    return generator.completed_batches(markers, 4)
+
+
+@query("SELECT CAST(2.0 AS DOUBLE) AS size_gb, CAST(ceil(2.0 * 1073741824 / 31) AS BIGINT) AS records, 3 AS share0, 2 AS share2, 11 AS global_user, round(h1 / h0 - 26, 6) AS mean_rank FROM (SELECT sum(pow(i + 26.0, -5.738)) AS h1, sum(pow(i + 26.0, -6.738)) AS h0 FROM range(1, 100001) r(i))")
+def workload_arithmetic(spark, d):
+    from quietcount.functions.noise import zipf_mandelbrot_mean
+
+    row = (2.0, generator.record_count(2.0), generator.share(8, 0, 3), generator.share(8, 2, 3), generator.local_to_global(3, 2, 3), round(zipf_mandelbrot_mean(100_000, 26.0, 6.738), 6))
+    return spark.createDataFrame([row], "size_gb double, records long, share0 int, share2 int, global_user int, mean_rank double")
+
+
+@query()
+def paper_workload(spark, d):
+    """The private histogram at a tenth of the published scale: 1 M users, 100,000 keys, 100 steps, and how far it is from the truth."""
+    return utility(spark, 1_000_000, 100_000, 100)
+
+
+def utility(spark, users: int, keys: int, steps: int, mode: CompositionMode = CompositionMode.ZCDP_LINEAR) -> DataFrame:
+    """One row: l0, l_inf, l1, l2 of the released histogram against the true one."""
+    p = DPParams(mu=0, max_time_steps=steps, composition=mode)
+    rows = generator.contributions(spark, users, keys, steps, p.max_contributions)
+    released = histogram.dp_histogram(rows, histogram.mechanism(steps, p.mu, calibration.calibrate(p)))
+    norms = metrics.error_norms(released, metrics.ground_truth(rows))
+    return norms.select(F.lit(users).alias("users"), F.lit(keys).alias("keys"), F.lit(steps).alias("steps"), "keys_released", "keys_true", (F.col("keys_true") - F.col("keys_released")).alias("l0"), "l_inf", "l1", "l2")
