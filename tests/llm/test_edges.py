@@ -12,13 +12,14 @@ EXTRA = (
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in EXTRA)
 
 
-def odd(spark, empty=False):
-    long = "one very long text of few words " * 9000
+def odd(spark, empty=False, upper=False):
+    long = "one very long text of few words " * 36_000  # over a slice of 1 MB
     line = "a line that stands on all of the sites\n"
     rows = [(1, "some text", "en", "s", 9), (1, "some text", "en", "s", 9), (1, "another text", None, None, None), (None, "some text", None, "s", None), (None, None, None, None, None)]
     rows += [(2, None, "en", "s", 0), (3, "", "en", None, 0), (4, "\n\n \n", "", "", 4), (5, long, "en", "s", len(long)), (6, "é" * 70_000, "fr", "t", None), (-7, "x y z", "en", "t", 5)]
     rows += [(10 + i, line + f"and then text number {i}", "en", f"s{i}", None) for i in range(6)] + [(None, line, "en", "s1", None)]
-    return spark.createDataFrame([] if empty else [(*r, *[("x" if k % 2 else None) for k in range(len(EXTRA))]) for r in rows], SCHEMA)
+    out = spark.createDataFrame([] if empty else [(*r, *[("x" if k % 2 else None) for k in range(len(EXTRA))]) for r in rows], SCHEMA)
+    return out.toDF(*out.columns[:5], *[c.upper() for c in out.columns[5:]]) if upper else out
 
 
 def labels(spark, empty=False):
@@ -56,6 +57,13 @@ def test_odd_rows_are_all_answered(spark, name):
         assert len(same) == 2 and same[0] == same[1]  # repeated rows get one result
 
 
+@pytest.mark.parametrize("name", OPERATORS)
+def test_names_that_clash_in_another_case(spark, name):
+    d = odd(spark, upper=True).where("doc_id IS NULL OR doc_id <> 5")
+    out = OPERATORS[name](spark, d, False)
+    assert out.count() == d.count() and len({c.lower() for c in out.columns}) == len(out.columns)
+
+
 @pytest.mark.parametrize("name", OPERATORS)
 def test_empty_tables(spark, name):
     assert OPERATORS[name](spark, odd(spark, True), True).count() == 0
