@@ -7,25 +7,37 @@ from pyspark.sql import functions as F
 
 from quietcount.llm.kernel import cut
 
+#: a node of more edges is a hub
+HUB = 50_000
+#: edges that a task writes
+EACH = 50_000
+
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable over the edges, for every node that has one.
 
-    Edges that are loops or hold nulls count for nothing; an empty table gives an empty result. A hub's minimum comes from
-    a pre-aggregation, which is checkpointed before it is joined back: the join then stands in a stage of its own, where
-    adaptive execution splits the hub. Rounds grow with the logarithm of the longest path.
+    Edges that are loops or hold nulls count for nothing; an empty table gives an empty result. While there is a hub, the
+    pre-aggregated minima are checkpointed before they are joined back: the join then stands in a stage of its own, where adaptive
+    execution splits the hub. A round's edges are written by as many tasks as they need, not by one for each shuffle
+    partition, so that few edges leave few files. Rounds grow with the logarithm of the longest path.
     """
     edges = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
     edges = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
+    size, hub = (x or 0 for x in edges.groupBy("v").count().agg(F.sum("count"), F.max("count")).first())
+    tasks = lambda n: max(8, n // EACH)
+    edges = cut(edges.coalesce(tasks(size)))
     for _ in range(max_rounds):
+        apart = cut if hub > HUB else (lambda df: df)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = cut(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct())
-        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(low, "u")
-        edges = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u > v").distinct())
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        low = apart(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = apart(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct())
+        small = large.join(apart(large.groupBy("u").agg(F.min("v").alias("m"))), "u")
+        edges = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u > v").distinct().coalesce(tasks(2 * size)))
+        # a node's edges lie with its larger or its smaller neighbours: the sum bounds both
+        each = edges.select(F.explode(F.array("u", "v")).alias("x"), F.xxhash64("u", "v").alias("h")).groupBy("x").agg(F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("h"))
+        *now, hub = each.agg(F.sum("n"), F.sum("h"), F.max("n")).first()
+        size, hub = (now[0] or 0) // 2, hub or 0
         if now == before:
             break
         before = now

@@ -40,14 +40,14 @@ class MinHash:
     rows: int = 3
     #: a limit on the inverse document frequency; none unless given
     max_idf: float | None = None
-    buckets: int = 1 << 24
+    buckets: int = 1 << 22
     #: leaders that a bucket gets before the rest of it is compared in tiles
-    rounds: int = 3
+    rounds: int = 2
     tile: int = 512
     seed: int = 11
 
 
-CHUNK = 1 << 16
+CHUNK = 1 << 14
 #: as many numbers are sent to the texts; more are joined with them
 FEW = 100_000
 
@@ -141,8 +141,7 @@ def document_frequencies(docs: DataFrame, text: str, n: int, m: MinHash) -> np.n
             yield done()
 
     parts = docs.select(quoted(text)).mapInArrow(count, "chunk int, counts binary")
-    tasks = max(1, m.buckets // CHUNK)
-    added = cut(parts.repartition(tasks, "chunk").sortWithinPartitions("chunk").mapInArrow(add, "chunk int, total long, counts binary"))
+    added = cut(parts.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(add, "chunk int, total long, counts binary"))
     mean = (added.agg(F.sum("total")).first()[0] or 0) / m.buckets
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,59 +281,59 @@ def _compare_tile(shared, m: MinHash):
     return run
 
 
-def _picked(texts: DataFrame, nums: DataFrame) -> DataFrame:
-    """The texts of some numbers: few numbers are sent to the texts, many leave the choice to the join that follows."""
-    some = cut(nums.distinct())
-    return texts.join(F.broadcast(some), "num") if some.count() <= FEW else texts
+def _picked(texts: DataFrame, nums: DataFrame, few: bool) -> DataFrame:
+    """The texts of some numbers: few are sent to the texts, many leave the choice to the join that follows."""
+    return texts.join(F.broadcast(nums.distinct()), "num") if few else texts
 
 
 def _linked(group: DataFrame, texts: DataFrame, weigher, m: MinHash) -> DataFrame:
     """(node, component) of the members of buckets, (band, bucket, num), that links connect."""
-    where, slack = ["band", "bucket"], 1 - m.threshold
+    bucket, slack = ["band", "bucket"], 1 - m.threshold
     union = lambda parts: reduce(DataFrame.unionByName, parts)
     links, stars = [], []
     for k in range(m.rounds):
-        lead = cut(group.groupBy(*where).agg(F.min("num").alias("a")))
-        at = cut(group.join(lead, where))
-        pairs = cut(at.where("a <> num").select("a", F.col("num").alias("b")).distinct())
-        ta, tb = (_picked(texts, pairs.select(F.col(c).alias("num"))).select(F.col("num").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
+        # written before it is joined back, so that adaptive execution can split a hot bucket
+        lead = cut(group.groupBy(*bucket).agg(F.min("num").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n"))
+        at = cut(group.join(lead, bucket))
+        pairs = at.where("a <> num").select("a", F.col("num").alias("b")).distinct()
+        few = False
+        if k:  # the first round needs nearly all of the texts, the others few
+            pairs = cut(pairs)
+            few = pairs.count() <= FEW
+        ta, tb = (_picked(texts, pairs.select(F.col(c).alias("num")), few).select(F.col("num").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
         both = pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").sortWithinPartitions("a")
         seen = cut(both.mapInArrow(_verify(weigher, m), "a long, b long, s double"))
         links.append(seen.where(F.col("s") >= m.threshold).select("a", "b"))
-        star = at.join(seen.withColumnRenamed("b", "num"), ["a", "num"], "left")
-        star = cut(star.select(*where, "num", F.coalesce("s", F.lit(1.0)).alias("s"), F.lit(k).alias("round")))
-        stars.append(star)
-        rest = star.where(F.col("s") < m.threshold)
-        open_ = cut(rest.groupBy(*where).agg(F.count("*").alias("n")).where("n > 1").select(*where))
-        group = cut(rest.select(*where, "num").join(open_, where))
+        star = at.where("a <> num").join(seen.withColumnRenamed("b", "num"), ["a", "num"]).select(*bucket, "a", "num", "s", F.lit(k).alias("round"))
+        stars.append(cut(star))
+        group = stars[-1].where(F.col("s") < m.threshold).select(*bucket, "num")
         if not group.limit(1).count():
             break
-    parts = cut(components(union(links)))
-    now = lambda rows: rows.join(parts.withColumnRenamed("node", "num"), "num", "left").withColumn("comp", F.coalesce("component", "num")).drop("component")
-    # of each star: members not linked with its leader, near enough to one that is, and those
-    star, where = now(union(stars)), [*where, "round"]
-    out = star.where((F.col("s") < m.threshold) & (F.col("s") >= 1 - 2 * slack))
-    home = star.where("s = 1").groupBy(*where).agg(F.min("comp").alias("home"))
-    out = cut(out.join(cut(home), where).where("comp <> home").drop("home"))
+    parts = components(union(links))
+    of = lambda rows, c, name: rows.join(parts.select(F.col("node").alias(c), F.col("component").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
+    # members that are not linked with a leader, but near enough to it to be linked with others that are, in another component
+    star, where = union(stars), [*bucket, "round"]
+    out = of(star.where((F.col("s") < m.threshold) & (F.col("s") >= 1 - 2 * slack)), "num", "comp")
+    out = cut(of(out, "a", "home").where("comp <> home").select(*where, "num", "s", "comp"))
+    # what no leader has claimed, where it lies in several components
+    left = cut(of(group, "num", "comp"))
+    open_ = left.groupBy(*bucket).agg(F.count("*").alias("n"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select(*bucket, "n")
+    if not out.select(*bucket).limit(1).unionByName(open_.select(*bucket).limit(1)).count():
+        return parts
     limit = cut(out.groupBy(*where).agg(F.max("s").alias("most"), F.count("*").alias("n1")))
-    near = star.where((F.col("s") >= m.threshold) & (F.col("s") < 1)).join(limit, where).where(F.col("s") <= F.col("most") + slack + 1e-9).drop("most", "n1")
-    near = cut(near)
+    near = star.where(F.col("s") >= m.threshold).join(limit, where).where(F.col("s") <= F.col("most") + slack + 1e-9)
+    near = cut(of(near, "num", "comp").select(*where, "num", "comp"))
     sizes = cut(limit.drop("most").join(near.groupBy(*where).agg(F.count("*").alias("n0")), where))
     tiles = lambda c: F.ceil(F.col(c) / m.tile).cast("int")
     spot = lambda n: F.pmod(F.xxhash64("num"), n).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    cross = [
-        rows.join(sizes, where).select(*where, spot(tiles(own)).alias("spot"), all_of(tiles(other)).alias("with"), F.lit(side).alias("side"), "num", "comp")
-        for rows, own, other, side in ((near, "n0", "n1", 0), (out, "n1", "n0", 1))
-    ]
-    cross = [x.select(*where, F.col("spot" if k == 0 else "with").alias("ti"), F.col("with" if k == 0 else "spot").alias("tj"), "side", "num", "comp") for k, x in enumerate(cross)]
-    # what no leader has claimed: every tile with itself and each other one
-    group = cut(now(group))
-    sizes = group.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
-    left = group.join(cut(sizes.where("c1 <> c2").drop("c1", "c2")), ["band", "bucket"]).select("band", "bucket", F.lit(m.rounds).alias("round"), spot(tiles("n")).alias("spot"), all_of(tiles("n")).alias("with"), "num", "comp")
-    left = left.select(*where, F.least("spot", "with").alias("ti"), F.greatest("spot", "with").alias("tj"), (F.col("spot") > F.col("with")).cast("int").alias("side"), "num", "comp")
-    todo = cut(union([*cross, left]))
-    held = todo.join(_picked(texts, todo.select("num")), "num")
+    # those near a leader against those further out; and what is left, every tile with itself and each other one
+    first = near.join(sizes, where).select(*where, spot(tiles("n0")).alias("ti"), all_of(tiles("n1")).alias("tj"), F.lit(0).alias("side"), "num", "comp")
+    second = out.join(sizes, where).select(*where, all_of(tiles("n0")).alias("ti"), spot(tiles("n1")).alias("tj"), F.lit(1).alias("side"), "num", "comp")
+    third = left.join(cut(open_), bucket).select(*bucket, F.lit(m.rounds).alias("round"), spot(tiles("n")).alias("spot"), all_of(tiles("n")).alias("with"), "num", "comp")
+    third = third.select(*where, F.least("spot", "with").alias("ti"), F.greatest("spot", "with").alias("tj"), (F.col("spot") > F.col("with")).cast("int").alias("side"), "num", "comp")
+    todo = cut(union([first, second, third]))
+    held = todo.join(_picked(texts, todo.select("num"), todo.count() <= FEW), "num")
     more = cut(held.groupBy(*where, "ti", "tj").applyInPandas(_compare_tile(weigher, m), "a long, b long").distinct())
     return components(union([*links, more])) if more.limit(1).count() else parts
 
