@@ -49,9 +49,22 @@ def clamp(x: Column, limit: float, signed: bool = True) -> Column:
     return F.greatest(F.lit(-limit if signed else 0.0), F.least(F.lit(float(limit)), x))
 
 
+def one_decimal(x: Column) -> Column:
+    """The double with one decimal that C's ``%.1f`` prints: the binary value itself is rounded (1.15 lies below its decimal form), a half to
+    even. Java rounds the decimal form, a half up. Ten times the fraction is held exactly, as the sum of s and e."""
+    x = x.cast("double")
+    part = x % F.lit(1.0)
+    a, b = part * 8.0, part * 2.0
+    s = a + b
+    e = b - (s - a)
+    tenths = F.when((F.abs(s % F.lit(1.0)) == 0.5) & (e != 0), s + F.signum(e) * 0.5).otherwise(F.rint(s))
+    out = (x - part) + tenths / 10.0
+    return F.when(F.isnan(part), x).when(out == 0, x * 0.0).otherwise(out)  # infinity; a zero keeps its sign
+
+
 def short_number(x: Column) -> Column:
     """1000000 as 1M, 2500 as 2.5K."""
-    trimmed = lambda c: F.regexp_replace(F.format_string("%.1f", c), r"\.0$", "")
+    trimmed = lambda c: F.regexp_replace(F.format_string("%.1f", one_decimal(c)), r"\.0$", "")
     return F.when(x >= 1e6, F.concat(trimmed(x / 1e6), F.lit("M"))).when(x >= 1e3, F.concat(trimmed(x / 1e3), F.lit("K"))).when(x.isNotNull(), trimmed(x.cast("double")))
 
 

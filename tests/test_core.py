@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quietcount.functions import text
 from quietcount.functions.calibration import calibrate, round_budget
 from quietcount.functions.noise import noise_path, variances
 from quietcount.operators import bounding, histogram, merge
@@ -185,3 +186,14 @@ def test_entry_without_the_llm_folder(tmp_path):
     shutil.copytree(root / "quietcount", tmp_path / "quietcount", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert 'word_count' in e.queries() and e.oracle_sql()"], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin"})
+
+
+def test_labels_round_as_c_prints(spark):
+    """1.15 is stored as 1.1499...: 1.1, where Java prints 1.2; a half goes to the even digit."""
+    rng = random.Random(6)
+    values = [0.0, -0.04, -1.15, 0.05, 0.25, 0.75, 0.95, 9.95, 99.95, 2.0**49 + 0.125] + [k / 100 for k in range(105, 1000, 10)] + [rng.randrange(1 << 20) / 8 for _ in range(200)]
+    rows = spark.createDataFrame([(x,) for x in [*values, None, float("inf")]], "x double")
+    got = [r[0] for r in rows.select(F.format_string("%.1f", text.one_decimal(F.col("x")))).collect()]
+    assert got[:-2] == [f"{x:.1f}" for x in values] and got[-1] == "Infinity"
+    numbers = spark.createDataFrame([(1_150_000,), (1_250_000,), (2_050_000,), (1_050,), (2_000,), (7,), (None,)], "n long")
+    assert [r[0] for r in numbers.select(text.short_number(F.col("n"))).collect()] == ["1.1M", "1.2M", "2M", "1.1K", "2K", "7", None]
