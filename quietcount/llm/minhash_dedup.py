@@ -3,6 +3,9 @@
 A text's five-word shingles weigh their count times their inverse document frequency. Document frequencies are counted over
 all documents in a hashed table of fixed size, so that any corpus has a table that can be sent to every task. A bucket's count, less the
 mean of all buckets (what collisions add on average), stands for its shingles' frequency; the inverse is kept in steps of an eighth.
+Counted row by row, a large group of copies makes its own shingles frequent, so that they weigh less than the few a copy changed, and
+the group falls apart, the more the larger it is. With ``copies_once``, as the query has it, a document frequency
+counts groups: of texts that share a band of samples drawn by counts alone, the first by hash counts for all.
 For each of bands x rows hash functions one shingle is drawn by consistent weighted sampling (two texts draw the
 same one with the probability of their weighted Jaccard similarity). Texts that share a band are candidates; what counts
 is the weighted Jaccard similarity itself.
@@ -17,7 +20,7 @@ components, is compared in tiles of bounded size. No link is lost, and the commo
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -41,12 +44,16 @@ class MinHash:
     #: a limit on the inverse document frequency; none unless given
     max_idf: float | None = None
     buckets: int = 1 << 22
+    #: document frequencies count a group of copies once; else every row
+    copies_once: bool = False
     #: leaders that a bucket gets before the rest of it is compared in tiles
     rounds: int = 2
     tile: int = 512
     seed: int = 11
 
 
+#: the query's
+ONCE = MinHash(copies_once=True)
 CHUNK = 1 << 14
 #: as many numbers are sent to the texts; more are joined with them
 FEW = 100_000
@@ -157,11 +164,15 @@ def document_frequencies(docs: DataFrame, text: str, n: int, m: MinHash) -> np.n
 
 
 class Weigher:
-    def __init__(self, idf: np.ndarray, m: MinHash):
+    """Without a table of frequencies, a shingle weighs its count."""
+
+    def __init__(self, idf: np.ndarray | None, m: MinHash):
         self.m, self.idf = m, idf
 
     def weighted(self, off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         bounds, h, tf = shingles(off, data, self.m.shingle)
+        if self.idf is None:
+            return bounds, h, tf.astype(np.float32)
         return bounds, h, tf * (self.idf[(h & U(self.m.buckets - 1)).astype(np.int64)] * np.float32(IDF_STEP))
 
 
@@ -338,29 +349,17 @@ def _linked(group: DataFrame, texts: DataFrame, weigher, m: MinHash) -> DataFram
     return components(union([*links, more])) if more.limit(1).count() else parts
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", m: MinHash = MinHash()) -> DataFrame:
-    """(doc_id, text_key1, text_key2, class_id, kept) for every row of ``docs``.
+KEY = ["k1", "k2"]
 
-    ``class_id`` is the smallest id over all texts that links (and equality) connect; ``kept`` marks the rows with
-    that id. Texts without words (null and empty alike count as the empty text) link only with their equals. Rows
-    with one id and one text are one document, kept together. Null ids count in a class but only represent one that has no
-    other id. Of equal similarities none is preferred: a pair at the threshold links. Long texts are weighed whole, slice by slice. An empty
-    table gives an empty result; other columns are ignored.
-    """
-    spark = docs.sparkSession
-    body = F.coalesce(F.col(quoted(text)), F.lit(""))
-    rows = docs.select(F.col(quoted(doc_id)).cast("long").alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("k1"), F.hash(body, F.length(body)).alias("k2"))
-    key = ["k1", "k2"]
-    classes = cut(rows.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
-    classes = cut(classes.withColumn("num", F.monotonically_increasing_id()))
-    n_rows = classes.agg(F.sum("n")).first()[0] or 0
-    weigher = spark.sparkContext.broadcast(Weigher(document_frequencies(rows, "text", n_rows, m), m))
+
+def _banded(rows: DataFrame, weigher: Callable[[], Weigher], m: MinHash) -> DataFrame:
+    """(k1, k2, bands) of every text, once."""
 
     def make():
-        sampler = Sampler(m)
+        sampler, own = Sampler(m), weigher()
 
         def work(off, data, part):
-            bounds, h, w = weigher.value.weighted(off, data)
+            bounds, h, w = own.weighted(off, data)
             s = sampler.draw(bounds, h, w)
             full = np.flatnonzero(np.diff(bounds))
             bands = np.empty((len(full), m.bands), np.int64)
@@ -375,8 +374,43 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
         return work
 
-    bands = map_text(rows, "text", key, [T.StructField("bands", T.ArrayType(T.LongType()))], make)
-    bands = bands.dropDuplicates(key).join(classes.select(*key, "num"), key).select("num", F.posexplode("bands").alias("band", "bucket"))
+    return map_text(rows, "text", KEY, [T.StructField("bands", T.ArrayType(T.LongType()))], make).dropDuplicates(KEY)
+
+
+def _once(rows: DataFrame, classes: DataFrame, m: MinHash) -> tuple[DataFrame, int]:
+    """One row of each text that shares no band with a text of smaller hash, and how many those are. Any bucket is joined with its
+    smallest hash only; nothing is compared in pairs."""
+    bands = cut(_banded(rows, lambda: Weigher(None, m), m).select(*KEY, F.posexplode("bands").alias("band", "bucket")))
+    first = cut(bands.groupBy("band", "bucket").agg(F.min("k1").alias("first"), F.count("*").alias("size")).where("size > 1").drop("size"))
+    later = cut(bands.join(first, ["band", "bucket"]).where("k1 > first").select(*KEY).distinct())
+    # few texts are copies: those, and those of several rows, are marked; the rows of all others go by
+    marked = classes.where("n > 1").select(*KEY, F.lit(True).alias("first")).unionByName(later.select(*KEY, F.lit(False).alias("first")))
+    marked = cut(marked.groupBy(*KEY).agg(F.min("first").alias("first")))
+    held = rows.join(F.broadcast(marked) if marked.count() <= FEW else marked, KEY, "left")
+    alone, several = held.where("first IS NULL").select("text"), held.where("first").dropDuplicates(KEY).select("text")
+    return alone.unionByName(several), classes.count() - later.count()
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", m: MinHash = MinHash()) -> DataFrame:
+    """(doc_id, text_key1, text_key2, class_id, kept) for every row of ``docs``.
+
+    ``class_id`` is the smallest id over all texts that links (and equality) connect; ``kept`` marks the rows with
+    that id. Texts without words (null and empty alike count as the empty text) link only with their equals. Rows
+    with one id and one text are one document, kept together. Null ids count in a class but only represent one that has no
+    other id. Of equal similarities none is preferred: a pair at the threshold links. Long texts are weighed whole, slice by slice. An empty
+    table gives an empty result; other columns are ignored.
+    """
+    spark = docs.sparkSession
+    body = F.coalesce(F.col(quoted(text)), F.lit(""))
+    rows = docs.select(F.col(quoted(doc_id)).cast("long").alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("k1"), F.hash(body, F.length(body)).alias("k2"))
+    key = KEY
+    classes = cut(rows.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+    classes = cut(classes.withColumn("num", F.monotonically_increasing_id()))
+    n_rows = classes.agg(F.sum("n")).first()[0] or 0
+    counted, n_counted = _once(rows, classes, m) if m.copies_once else (rows, n_rows)
+    weigher = spark.sparkContext.broadcast(Weigher(document_frequencies(counted, "text", n_counted, m), m))
+    bands = _banded(rows, lambda: weigher.value, m)
+    bands = bands.join(classes.select(*key, "num"), key).select("num", F.posexplode("bands").alias("band", "bucket"))
     bands = cut(bands)
     buckets = bands.groupBy("band", "bucket").agg(F.count("*").alias("size")).where("size > 1").select("band", "bucket")
     group = cut(bands.join(cut(buckets), ["band", "bucket"]))
@@ -391,15 +425,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 def op7_minhash_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id", "kept")
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), m=ONCE).select("doc_id", "class_id", "kept")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, m: MinHash = MinHash()) -> DataFrame:
     """The rows of ``docs``, with their own columns, that stay: one document of each class, the one of smallest id. Its repeated rows stay
     together; nulls, empty and long texts, ties and empty tables as in ``near_duplicates``."""
     own, at = positional(docs)
     body = F.coalesce(F.col(at["text"]), F.lit(""))
-    marked = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_d"), F.col("text_key1").alias("_k1"), F.col("text_key2").alias("_k2")).distinct()
+    marked = near_duplicates(docs, m=m).where("kept").select(F.col("doc_id").alias("_d"), F.col("text_key1").alias("_k1"), F.col("text_key2").alias("_k2")).distinct()
     held = own.withColumns({"_k1": F.xxhash64(body), "_k2": F.hash(body, F.length(body))})
     on = held["_k1"].eqNullSafe(marked["_k1"]) & held["_k2"].eqNullSafe(marked["_k2"]) & held[at["doc_id"]].eqNullSafe(marked["_d"])
     return held.join(marked, on, "left_semi").select(*named_again(docs.columns, at))

@@ -233,6 +233,37 @@ def test_minhash_against_brute_force(spark, rounds, tile):
     assert [got[i] for i in range(len(texts))] == comp
 
 
+def test_minhash_finds_near_copies_in_a_large_group(spark, tmp_path):
+    """Two words of 150 changed: a plain similarity to the text of 0.87, however many copies of it there are."""
+    rng = random.Random(12)
+    base, texts = say(rng, 150, 5000), [say(rng, 150, 5000) for _ in range(240)]
+    near = [base] * 20
+    for k in range(60):
+        w = base.split(" ")
+        w[10 + k], w[80 + k] = f"new{k}", f"other{k}"
+        near.append(" ".join(w))
+    docs(spark, near + texts).repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.class_id for r in minhash_dedup.op7_minhash_dedup(spark, str(tmp_path)).collect()}
+    assert got == {i: 0 if i < len(near) else i for i in range(len(near) + len(texts))}
+    kept = {r.doc_id for r in minhash_dedup.keep_one(spark.read.parquet(f"{tmp_path}/documents.parquet"), minhash_dedup.ONCE).collect()}
+    assert kept == {0, *range(len(near), len(near) + len(texts))}
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_minhash_counts_a_group_of_copies_once(spark, monkeypatch, few):
+    """A text on many rows, rows of one id among them, and its near copy are one; texts that share a third of their words are not."""
+    monkeypatch.setattr(minhash_dedup, "FEW", few)
+    rng = random.Random(13)
+    common, base = say(rng, 40, 5000), say(rng, 150, 5000)
+    own = [f"{common} {say(rng, 110, 5000)}" for _ in range(30)]
+    texts = [base] * 9 + [base.replace(base.split(" ")[70], "changed")] + own
+    rows = docs(spark, texts).unionByName(docs(spark, [base] * 5)).select(F.col("doc_id"), F.col("text"), F.xxhash64("text").alias("k1"), F.hash("text", F.length("text")).alias("k2"))
+    classes = rows.groupBy("k1", "k2").agg(F.count("*").alias("n"))
+    counted, n = minhash_dedup._once(rows, classes, minhash_dedup.ONCE)
+    left = [r.text for r in counted.collect()]
+    assert len(left) == len(set(left)) == n and sum(t not in own for t in left) == 1 and 10 < n <= 31
+
+
 def test_pieces_round_trip_and_repeat(spark):
     rng = random.Random(4)
     texts = [None, "", " ", "  a  b\n\n▁ meta ▁▁", "naïve café 漢字 🙂 \x00\x01", "x" * 3000] + [say(rng, 60) for _ in range(20)]
