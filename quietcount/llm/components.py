@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,16 +17,38 @@ HUB = 50_000
 EACH = 50_000
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of all edges at once; of two roots the smaller stays one."""
+    pairs = [np.stack([np.asarray(batch.column(0)), np.asarray(batch.column(1))]) for batch in batches if batch.num_rows]
+    if not pairs:
+        return
+    nodes, at = np.unique(np.concatenate(pairs, axis=1), return_inverse=True)
+    parent = list(range(len(nodes)))
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for x, y in at.reshape(2, -1).T.tolist():
+        x, y = top(x), top(y)
+        parent[max(x, y)] = min(x, y)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[[top(x) for x in range(len(nodes))]])], ["node", "component"])
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, few: int = 0) -> DataFrame:
     """(node, component): the smallest node reachable over the edges, for every node that has one.
 
     Edges that are loops or hold nulls count for nothing; an empty table gives an empty result. While there is a hub, the
     pre-aggregated minima are checkpointed before they are joined back: the join then stands in a stage of its own, where adaptive
     execution splits the hub. A round's edges are written by as many tasks as they need, not by one for each shuffle
-    partition, so that few edges leave few files. Rounds grow with the logarithm of the longest path.
+    partition, so that few edges leave few files. Rounds grow with the logarithm of the longest path. Up to ``few`` edges are
+    settled by one task, without rounds.
     """
     edges = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
     edges = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    if few and edges.count() <= few:
+        return cut(edges.coalesce(1).mapInArrow(_settled, "node long, component long"))
     before = None
     size, hub = (x or 0 for x in edges.groupBy("v").count().agg(F.sum("count"), F.max("count")).first())
     tasks = lambda n: max(8, n // EACH)

@@ -7,6 +7,7 @@ worker's memory depends on ``SLICE_BYTES`` and on the longest single text, never
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -201,6 +202,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Shuffles and broadcasts that nothing refers to any more leave the disks now. Spark drops them only when the driver's heap is
+    collected, which may be long after a cut made them useless."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def folder(spark: SparkSession, kind: str) -> str:
     """A new path in the shared folder, removed when the driver ends: lazy results may read it until then."""
     ensure_checkpoints(spark)

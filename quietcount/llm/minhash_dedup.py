@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quietcount.llm.components import components
-from quietcount.llm.kernel import SLICE_BYTES, U, Words, cut, map_text, mix, named_again, positional, quoted, slices, utf8
+from quietcount.llm.kernel import SLICE_BYTES, U, Words, cut, map_text, mix, named_again, positional, quoted, release, slices, utf8
 
 
 @dataclass(frozen=True)
@@ -55,7 +55,7 @@ class MinHash:
 #: the query's
 ONCE = MinHash(copies_once=True)
 CHUNK = 1 << 14
-#: as many numbers are sent to the texts; more are joined with them
+#: as many numbers are sent to the texts, more are joined with them; as many edges are settled by one task
 FEW = 100_000
 
 
@@ -318,9 +318,12 @@ def _linked(group: DataFrame, texts: DataFrame, weigher, m: MinHash) -> DataFram
         star = at.where("a <> num").join(seen.withColumnRenamed("b", "num"), ["a", "num"]).select(*bucket, "a", "num", "s", F.lit(k).alias("round"))
         stars.append(cut(star))
         group = stars[-1].where(F.col("s") < m.threshold).select(*bucket, "num")
+        del at, pairs, ta, tb, both, star
+        release(texts.sparkSession)
         if not group.limit(1).count():
             break
-    parts = components(union(links))
+    parts = components(union(links), few=FEW)
+    release(texts.sparkSession)
     of = lambda rows, c, name: rows.join(parts.select(F.col("node").alias(c), F.col("component").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
     # members that are not linked with a leader, but near enough to it to be linked with others that are, in another component
     star, where = union(stars), [*bucket, "round"]
@@ -344,9 +347,15 @@ def _linked(group: DataFrame, texts: DataFrame, weigher, m: MinHash) -> DataFram
     third = left.join(cut(open_), bucket).select(*bucket, F.lit(m.rounds).alias("round"), spot(tiles("n")).alias("spot"), all_of(tiles("n")).alias("with"), "num", "comp")
     third = third.select(*where, F.least("spot", "with").alias("ti"), F.greatest("spot", "with").alias("tj"), (F.col("spot") > F.col("with")).cast("int").alias("side"), "num", "comp")
     todo = cut(union([first, second, third]))
+    release(texts.sparkSession)
     held = todo.join(_picked(texts, todo.select("num"), todo.count() <= FEW), "num")
     more = cut(held.groupBy(*where, "ti", "tj").applyInPandas(_compare_tile(weigher, m), "a long, b long").distinct())
-    return components(union([*links, more])) if more.limit(1).count() else parts
+    del held
+    release(texts.sparkSession)
+    if not more.limit(1).count():
+        return parts
+    # a node and its component stand for the links that led to it
+    return components(union([parts.select(F.col("node").alias("a"), F.col("component").alias("b")), more]), few=FEW)
 
 
 KEY = ["k1", "k2"]
@@ -408,7 +417,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     classes = cut(classes.withColumn("num", F.monotonically_increasing_id()))
     n_rows = classes.agg(F.sum("n")).first()[0] or 0
     counted, n_counted = _once(rows, classes, m) if m.copies_once else (rows, n_rows)
+    release(spark)
     weigher = spark.sparkContext.broadcast(Weigher(document_frequencies(counted, "text", n_counted, m), m))
+    del counted
     bands = _banded(rows, lambda: weigher.value, m)
     bands = bands.join(classes.select(*key, "num"), key).select("num", F.posexplode("bands").alias("band", "bucket"))
     bands = cut(bands)
@@ -417,7 +428,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     involved = group.select("num").distinct()
     texts = rows.join(classes.join(involved, "num").select(*key, "num", "rep"), key).where(F.col("doc_id").eqNullSafe(F.col("rep")))
     texts = cut(texts.select("num", "text").dropDuplicates(["num"]))
+    del bands, buckets, involved
+    release(spark)
     parts = _linked(group, texts, weigher, m)
+    del group, texts
+    release(spark)
     own = classes.join(parts.withColumnRenamed("node", "num"), "num", "left").withColumn("component", F.coalesce("component", "num"))
     least = own.groupBy("component").agg(F.min("rep").alias("class_id"))
     own = own.join(least, "component").select(*key, "class_id")

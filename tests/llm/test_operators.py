@@ -1,12 +1,14 @@
+import glob
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quietcount.llm import decontamination, embedding_dedup, kernel, line_dedup, minhash_dedup, pieces, quality, sharding, toxicity, url_filters
+from quietcount.llm import components, decontamination, embedding_dedup, kernel, line_dedup, minhash_dedup, pieces, quality, sharding, toxicity, url_filters
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -264,6 +266,37 @@ def test_minhash_counts_a_group_of_copies_once(spark, monkeypatch, few):
     assert len(left) == len(set(left)) == n and sum(t not in own for t in left) == 1 and 10 < n <= 31
 
 
+@pytest.mark.parametrize("few", [0, 300, 100_000])
+def test_components_of_few_edges_are_those_of_the_rounds(spark, few):
+    rng = random.Random(14)
+    pairs = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(250)] + [(1000 + k, 1001 + k) for k in range(90)] + [(5, 5), (None, 7), (7, None)]
+    least = {x: x for a, b in pairs if None not in (a, b) and a != b for x in (a, b)}
+    for _ in range(len(pairs)):
+        for a, b in pairs:
+            if a in least and b in least and a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    got = components.components(spark.createDataFrame(pairs, "a long, b long"), few=few).collect()
+    assert sorted((r.node, r.component) for r in got) == sorted(least.items())
+    assert not components.components(spark.createDataFrame([(5, 5)], "a long, b long"), few=few).collect()
+
+
+def test_minhash_leaves_no_used_shuffles(spark, tmp_path):
+    """Of the files that it dealt out, only those of its last steps may stay on the disks."""
+    rng = random.Random(15)
+    near = say(rng, 150, 5000)
+    texts = [say(rng, 60, 5000) for _ in range(40)] + [near.replace(near.split(" ")[k], f"new{k}") for k in range(20)]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    at = [str(f) for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    there = lambda: {x for d in at for x in glob.glob(f"{d}/*/shuffle_*.data")}
+    before = there()
+    out = minhash_dedup.op7_minhash_dedup(spark, str(tmp_path))
+    until = time.time() + 10  # Spark's cleaner works beside
+    while len(there() - before) >= 10 and time.time() < until:
+        time.sleep(0.2)
+    assert len(there() - before) < 10
+    assert {r.doc_id: r.class_id for r in out.collect()} == {i: min(i, 40) for i in range(60)}
+
+
 def test_pieces_round_trip_and_repeat(spark):
     rng = random.Random(4)
     texts = [None, "", " ", "  a  b\n\n▁ meta ▁▁", "naïve café 漢字 🙂 \x00\x01", "x" * 3000] + [say(rng, 60) for _ in range(20)]
